@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from weirgate.llm.common import text_chunks
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*?)>""", re.DOTALL)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+(?=>)|[^>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title"}
 BLOCK = {
