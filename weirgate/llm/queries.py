@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm import chat_format, exact_dedup, html_text, line_dedup, secret_scan, simhash
+from weirgate.llm import chat_format, exact_dedup, html_text, language_id, line_dedup, secret_scan, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs, min_docs=10, keep_first=False))
@@ -62,6 +66,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_line_dedup": op3_line_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_simhash": op5_simhash,
