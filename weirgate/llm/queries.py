@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm import chat_format, exact_dedup, html_text, language_id, line_dedup, mixing, secret_scan, simhash
+from weirgate.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, secret_scan, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs, min_docs=10, keep_first=False))
@@ -71,6 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontaminate": op2_decontaminate,
         "op3_line_dedup": op3_line_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_simhash": op5_simhash,
