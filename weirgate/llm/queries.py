@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, secret_scan, simhash
+from weirgate.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, secret_scan, simhash, substring_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_html_text": op7_html_text,
         "op8_secret_scan": op8_secret_scan,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
 
