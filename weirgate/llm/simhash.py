@@ -8,8 +8,8 @@ ball of radius t finds each link; candidates are verified on all 64 bits.
 
 Equal fingerprints are one row of the join. Large groups of near copies would still link in all pairs;
 so fingerprints first link to the smallest one of their bucket, and the join then pairs only those that
-are not in one component yet: within a bucket, members of its most frequent component are only compared
-with the other rows. No pair of different components within the radius is lost.
+are not in one component yet: within a dense bucket, members of its most frequent component are only
+compared with the other rows. No pair of different components within the radius is lost.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a text with fewer
 words than a shingle has one shingle; null doc_ids come last in the choice of component_id, which is
@@ -33,6 +33,8 @@ from weirgate.llm.common import connected_components, cut, text_chunks
 SEED, BITS = 42, 64
 #: What a probe costs beside a candidate: it is shuffled, a candidate is compared in place.
 PROBE_COST = 4.0
+#: A bucket with more fingerprints is dense: its members are compared by component. Rows that may be broadcast.
+DENSE, BROADCAST_ROWS = 64, 50_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -160,17 +162,27 @@ def link_components(fps: DataFrame, radius: int) -> DataFrame:
     first = connected_components(stars.select(F.col("fp").alias("a"), F.col("head").alias("b")))
     known = cut(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c")))
 
-    rows = index(known, "c")
-    buckets = rows.groupBy("part", "v", "c").count().groupBy("part", "v").agg(F.max_by("c", F.struct("count", "c")).alias("top"), (F.min("c") != F.max("c")).alias("mixed"))
-    rows = rows.join(buckets, ["part", "v"]).select("part", "v", (F.col("c") == F.col("top")).alias("is_top"), F.col("fp").alias("x"), F.col("c").alias("xc"))
+    rows = index(known, "c").withColumnsRenamed({"fp": "x", "c": "xc"})
     balls = F.when(F.lit(False), F.array().cast("array<long>"))
     for i, (_, masks) in enumerate(parts):
         balls = balls.when(F.col("part") == i, F.array(*map(F.lit, masks)))
     probes = index(known, "c").select("part", F.explode(F.transform(balls, lambda m: F.col("v").bitwiseXOR(m))).alias("v"), "fp", "c")
-    both = F.array(F.lit(True), F.lit(False))
-    targets = F.when(F.col("c") == F.col("top"), F.array(F.lit(False))).when(F.col("mixed"), both).otherwise(F.array(F.lit(True)))
-    live = probes.join(buckets, ["part", "v"]).where("mixed or c <> top").select("part", "v", "fp", "c", F.explode(targets).alias("is_top"))
-    found = live.join(rows, ["part", "v", "is_top"]).where((F.col("fp") < F.col("x")) & (F.col("c") != F.col("xc")) & near(F.col("fp"), F.col("x"), radius))
+    linked = (F.col("fp") < F.col("x")) & (F.col("c") != F.col("xc")) & near(F.col("fp"), F.col("x"), radius)
+
+    counts = rows.groupBy("part", "v", "xc").count().groupBy("part", "v")
+    dense = cut(counts.agg(F.max_by("xc", F.struct("count", "xc")).alias("top"), (F.min("xc") != F.max("xc")).alias("mixed"), F.sum("count").alias("n")).where(F.col("n") > DENSE).drop("n"))
+    n_dense = dense.count()
+    if not n_dense:
+        found = probes.join(rows, ["part", "v"]).where(linked)
+    else:
+        few = F.broadcast(dense) if n_dense <= BROADCAST_ROWS else dense
+        sparse = rows.join(few, ["part", "v"], "left_anti")
+        found = probes.join(sparse, ["part", "v"]).where(linked)
+        both = F.array(F.lit(True), F.lit(False))
+        targets = F.when(F.col("c") == F.col("top"), F.array(F.lit(False))).when(F.col("mixed"), both).otherwise(F.array(F.lit(True)))
+        live = probes.join(few, ["part", "v"]).where("mixed or c <> top").select("part", "v", "fp", "c", F.explode(targets).alias("is_top"))
+        crowd = rows.join(few, ["part", "v"]).select("part", "v", (F.col("xc") == F.col("top")).alias("is_top"), "x", "xc")
+        found = found.select("c", "xc").union(live.join(crowd, ["part", "v", "is_top"]).where(linked).select("c", "xc"))
     second = connected_components(found.select(F.col("c").alias("a"), F.col("xc").alias("b")).distinct())
     return known.join(second, F.col("c") == F.col("node"), "left").select("fp", F.coalesce("component", "c").alias("component"))
 
