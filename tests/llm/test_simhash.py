@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from weirgate.llm import simhash
@@ -58,7 +59,9 @@ def test_components_equal_brute_force(spark):
     assert len(set(want.values())) < len(docs) - 50
 
 
-def test_dense_fingerprints_lose_no_link(spark):
+@pytest.mark.parametrize("dense", [2, 64])
+def test_dense_fingerprints_lose_no_link(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(5)
     fps = {0}
     while len(fps) < 400:  # a walk: one large component, and outliers a few bits off
