@@ -1,0 +1,83 @@
+import re
+import unicodedata
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weirgate.functions import text as T
+from weirgate.sources.rules import java_pattern, seed_rules
+
+FEW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SPAN = st.tuples(st.integers(-3, 24), st.integers(-3, 24), st.sampled_from("ABC"))
+
+
+def slow_merge(spans, n):
+    clipped = [(max(0, min(s, n)), max(0, min(e, n)), c) for s, e, c in spans]
+    out = []
+    for s, e, c in sorted([x for x in clipped if x[1] > x[0]], key=lambda x: x[:2]):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        else:
+            out.append((s, e, c))
+    return out
+
+
+def merged(spark, cases):
+    df = spark.createDataFrame([(t, [{"start": s, "end": e, "category": c} for s, e, c in spans]) for t, spans in cases], f"t string, s {T.SPANS}")
+    return [([tuple(x) for x in r.m], r.r) for r in df.select(T.merge_spans(F.col("s"), F.length("t")).alias("m"), T.redact(F.col("t"), F.col("s")).alias("r")).collect()]
+
+
+@FEW
+@given(st.lists(st.tuples(st.text("aé😀 ", max_size=20), st.lists(SPAN, max_size=6)), min_size=1, max_size=20))
+def test_merge_and_redact(spark, cases):
+    for (text, spans), (got, redacted) in zip(cases, merged(spark, cases)):
+        want = slow_merge(spans, len(text))
+        assert got == want
+        for s, e, c in reversed(want):
+            text = text[:s] + f"[REDACTED:{c}]" + text[e:]
+        assert redacted == text
+
+
+def test_golden_redaction(spark):
+    (spans, text), = merged(spark, [("0123456789", [(1, 5, "A"), (4, 8, "B")])])
+    assert spans == [(1, 8, "A")] and text == "0[REDACTED:A]89"
+
+
+@FEW
+@given(st.lists(st.text("a1@. -+é(x0٣\n", max_size=40), min_size=1, max_size=30))
+def test_match_offsets_equal_python(spark, texts):
+    rules = [r for r in seed_rules() if r.rule_type == "REGEX" and r.category == "PII"][:5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(T.match_spans(F.col("t"), java_pattern(r.pattern), "X").alias(r.rule_id) for r in rules))
+    for row in df.collect():
+        for r in rules:
+            assert [(s.start, s.end) for s in row[r.rule_id]] == [m.span() for m in re.finditer(r.pattern, row.t)]
+
+
+def test_luhn(spark):
+    cases = {"4111111111111111": True, "5555555555554444": True, "378282246310005": True, "4111111111111112": False, "1234567812345678": False, "4111 1111": False, "４１１１": False, "": False}
+    got = spark.createDataFrame([(k,) for k in cases], "d string").select("d", T.luhn_ok(F.col("d")).alias("ok")).collect()
+    assert {r.d: r.ok for r in got} == cases
+
+
+def test_normalise_and_words(spark):
+    texts = ["  a \t b c ", "Ｉｇｎｏｒｅ　me", "x​y éA", "", None, "plain ASCII text"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalise_for_rules(F.col("t")).alias("n"), T.words(F.col("t")).alias("w")).collect()
+    want = [" ".join(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "")).split()) for t in texts]
+    assert [r.n for r in got] == want
+    assert [[w.word for w in r.w] for r in got] == [["a", "b", "c"], ["ignore", "me"], ["xy", "éa"], [], [], ["plain", "ascii", "text"]]
+    assert [(w.start, w.end) for w in got[2].w] == [(0, 3), (4, 7)]
+
+
+def test_ascii_words_equal_python(spark):
+    texts = ["A b_c, d-e!", "", "  x", "one"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.ascii_words(F.col("t")).alias("w")).collect()
+    assert [[tuple(w) for w in r.w] for r in got] == [[(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", t)] for t in texts]
+
+
+def test_numbers(spark):
+    r = spark.range(1).select(
+        T.softmax(F.array(F.lit(2.0), F.lit(2.0))).alias("s"), T.softmax(F.array(F.lit(float("nan")), F.lit(1.0))).alias("bad"), T.sigmoid(F.lit(0.0)).alias("g"),
+        T.head_and_tail(F.sequence(F.lit(0), F.lit(9)), 6).alias("h6"), T.head_and_tail(F.sequence(F.lit(0), F.lit(9)), 5).alias("h5"),
+    ).first()
+    assert r.s == [0.5, 0.5] and r.bad is None and r.g == 0.5 and r.h6 == [0, 1, 2, 7, 8, 9] and r.h5 == [0, 1, 7, 8, 9]

@@ -10,7 +10,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+WORDS = T.ArrayType(T.StructType().add("word", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 SPANS = "array<struct<start:int,end:int,category:string>>"
 ASCII = r"^\p{ASCII}*$"
 PLACEHOLDER = "[REDACTED:{category}]"
@@ -106,12 +108,12 @@ def _normalised(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts[: len(out)], ends[: len(out)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+@F.pandas_udf(WORDS)
 def _words_of_any(texts: pd.Series) -> pd.Series:
     import re
 

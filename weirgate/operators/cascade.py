@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirgate.functions.text import normalise_for_rules
 from weirgate.sources.rules import Rule, active_layer_1, matches
@@ -20,7 +21,7 @@ from weirgate.sources.rules import Rule, active_layer_1, matches
 #: Fixed values of the verdict format.
 VERDICTS = ("ALLOW", "BLOCK", "REDACT")
 MAX_REPLY, MAX_RATIONALE = 10_000, 300
-VERDICT = "decision string, rationale string, sanitized_prompt string"
+VERDICT = T.StructType().add("decision", T.StringType()).add("rationale", T.StringType()).add("sanitized_prompt", T.StringType())
 DECISION = ("action_taken", "triggered_layer", "is_blocked", "risk_score", "rule_id", "verdict_status", "sanitized_prompt")
 
 #: A scorer or judge adds its columns to the rows it is given.

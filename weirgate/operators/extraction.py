@@ -22,7 +22,7 @@ def request_error(body: Column, request: Column) -> Column:
     """Error code of the first failed check, null for a valid request."""
     not_object = ~F.coalesce(F.trim(body).startswith("{"), F.lit(False))
     return F.coalesce(
-        F.when(request["_corrupt_record"].isNotNull() | body.isNull(), "invalid_json"),
+        F.when(F.try_parse_json(body).isNull(), "invalid_json"),
         F.when(not_object, "invalid_request"),
         F.when(request["messages"].isNull() | (F.size(request["messages"]) == 0), "invalid_request"),
         F.when(F.coalesce(request["stream"], F.lit(False)), "streaming_not_supported"),
