@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirgate.functions import format as N
 from weirgate.functions import text as T
-from weirgate.operators import cascade, extraction, output_scan
+from weirgate.operators import cascade, decision_log, extraction, output_scan
 from weirgate.operators import log_analytics as A
 from weirgate.plans.log_sql import over_logs, over_rollup
 from weirgate.sources import rules as R
@@ -375,3 +376,43 @@ def table_counts(spark, sf_dir):
     log = logs(spark, sf_dir)
     named = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
     return named("threat_logs", log).union(named("system_metrics", A.hourly_rollup(log)))
+
+
+@query(over_logs("""
+    , t as (select request_id, output_flagged, is_blocked, action_taken, triggered_layer, bypassed, kind, unnest(['layer_1', 'layer_2', 'layer_3', 'output_scanner']) layer from (select logs.*, kinds.kind from logs join kinds on request_id = 'req-' || event_id))
+    select request_id, layer, case
+        when layer = 'layer_1' then case when bypassed then 'NOT EXECUTED' when kind = 'block_l1' then 'BLOCKED' else 'CLEAR' end
+        when layer = 'layer_2' then case when bypassed or kind = 'block_l1' then 'NOT EXECUTED' when kind = 'block_l2' then 'BLOCKED' when kind in ('pass_l3', 'redact_l3', 'block_l3') then 'ESCALATED' else 'CLEAR' end
+        when layer = 'layer_3' then case when kind = 'block_l3' then 'BLOCKED' when kind in ('pass_l3', 'redact_l3') then 'CLEAR' else 'NOT EXECUTED' end
+        else case when kind = 'block_out' then 'BLOCKED' when output_flagged then 'ESCALATED' when is_blocked then 'NOT EXECUTED' else 'CLEAR' end end state from t"""))
+def full_layer_trace(spark, sf_dir):
+    return decision_log.full_trace(logs(spark, sf_dir))
+
+
+@query(over_logs("""
+    , c as (select count(*) filter (triggered_layer = 'LAYER_1') l1, count(*) filter (triggered_layer = 'LAYER_2') l2, count(*) filter (triggered_layer = 'LAYER_3') l3, count(*) filter (triggered_layer = 'OUTPUT_SCANNER') o
+            from logs where is_blocked and created_at >= timestamp '2024-01-01')
+    select floor(l1 * 0.6::double + l2 * 0.4::double + 1e-9)::bigint prompt_injection, floor(l1 * 0.4::double + l2 * 0.2::double + 1e-9)::bigint jailbreak, floor(l3 * 0.3::double + 1e-9)::bigint system_override, o data_leak from c"""))
+def threat_estimate(spark, sf_dir):
+    return decision_log.threat_estimate(A.layer_distribution(logs(spark, sf_dir), AS_OF, ALL_HOURS))
+
+
+@query(over_logs("""select request_id, case when bypassed then 200 when is_blocked then 403 else 200 end status_code,
+    case when bypassed then null when is_blocked and triggered_layer = 'OUTPUT_SCANNER' then 'blocked_output' when is_blocked then 'blocked_input' end error_code,
+    case when bypassed then 'BYPASSED' else action_taken end firewall_action from logs"""))
+def http_outcome(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    out = decision_log.outcome(none, none, F.col("is_blocked"), F.col("triggered_layer"), none, F.lit(None).cast("int"), A.bypassed(), F.col("action_taken"))
+    return logs(spark, sf_dir).select("request_id", out.alias("o")).select("request_id", "o.*")
+
+
+@query(over_logs("select least(9, greatest(0, floor(least(19, floor(risk_score * 20)) / 20.0::double * 10)))::int tenth, count(*) n from logs group by 1"))
+def risk_tenths(spark, sf_dir):
+    fine = F.least(F.lit(19), F.floor(F.col("risk_score") * 20)) / 20.0
+    return logs(spark, sf_dir).groupBy(N.tenth(fine).alias("tenth")).agg(F.count("*").alias("n"))
+
+
+@query(over_logs("""select (extract(hour from created_at))::int as hour, round(sum(case when isodow(created_at) > 5 then 0.55::double else 1 end), 6) weighted_days from logs group by 1"""))
+def traffic_by_hour(spark, sf_dir):
+    weight = N.traffic_weight(F.col("created_at")) / F.element_at(F.array(*map(F.lit, N.HOUR_WEIGHT)), F.hour("created_at") + 1)
+    return logs(spark, sf_dir).groupBy(F.hour("created_at").alias("hour")).agg(F.round(F.sum(weight), 6).alias("weighted_days"))
