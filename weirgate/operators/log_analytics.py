@@ -115,7 +115,7 @@ def latency_by_bucket(logs: DataFrame, rollup: DataFrame | None, as_of: str, hou
     rows = rollup.where((F.col("bucket_start") >= since(as_of, hours)) & (F.col("total_requests") > 0))
     at = truncated("day" if bucket == "day" else "hour", "bucket_start")
     weighted = F.sum(F.col("avg_latency_ms") * F.col("total_requests")) / F.nullif(F.sum("total_requests"), F.lit(0))
-    return rows.groupBy(at.alias("bucket")).agg(F.round(weighted, 6).alias("avg_ms"), F.max("p95_latency_ms").alias("p95_ms"))
+    return rows.groupBy(at.alias("bucket")).agg(F.round(weighted, 4).alias("avg_ms"), F.max("p95_latency_ms").alias("p95_ms"))
 
 
 def layer_distribution(logs: DataFrame, as_of: str, hours: int) -> DataFrame:

@@ -83,7 +83,7 @@ def rollup_backfill(spark, sf_dir):
     return A.backfill(logs(spark, sf_dir), "2023-12-31 00:00:00", "2024-02-01 00:00:00")
 
 
-@query(over_rollup("""select date_trunc('day', bucket_start)::timestamp bucket, round(sum(avg_latency_ms * total_requests) / sum(total_requests), 6) avg_ms, max(p95_latency_ms) p95_ms
+@query(over_rollup("""select date_trunc('day', bucket_start)::timestamp bucket, round(sum(avg_latency_ms * total_requests) / sum(total_requests), 4) avg_ms, max(p95_latency_ms) p95_ms
     from hourly where bucket_start >= timestamp '2024-01-01' group by 1"""))
 def rollup_weighted_latency(spark, sf_dir):
     log = logs(spark, sf_dir)
