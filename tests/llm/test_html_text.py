@@ -22,6 +22,20 @@ def test_page_without_semantic_elements():
     assert main_text(page) == "News" + "\n\nThis is a sentence that says what has happened in the town today." * 3
 
 
+def test_kinds_of_boilerplate_around_and_inside_an_article():
+    prose = "<p>The council met on Monday and agreed to repair the bridge before winter.</p>"
+    want = "\n\n".join(["The council met on Monday and agreed to repair the bridge before winter."] * 2)
+    for junk in (
+        '<div class="sidebar"><h3>Popular</h3><p>Ten things that you did not know about the bridge.</p></div>', '<ol class="commentlist"><li><p>I live next to it and I have never seen anybody work there.</p></li></ol>',
+        '<aside><p>Our reporter has lived in the town for twenty years and likes it.</p></aside>', '<div id="cookieBanner" role="dialog">We use cookies to improve this site for all of our readers.</div>',
+        '<form action="/s"><p>Write to us and we will answer within three working days.</p><input name=q></form>', '<div style="display: none"><p>Nobody will ever read this hidden sentence on the page.</p></div>',
+        '<div class="ad-slot"><p>Buy the new phone now, it is cheaper than it has ever been.</p></div>', "<noscript>Please enable JavaScript to read the comments.</noscript>", "<script>document.write('<p>x</p>')</script>",
+    ):
+        assert main_text(f"<body><article>{prose}{junk}{prose}</article></body>") == want, junk
+        assert main_text(f"<body>{junk}<main>{prose}{prose}</main>{junk}</body>") == want, junk
+        assert main_text(f"<body>{junk}<div class=content>{prose}{prose}</div>{junk}</body>") == want, junk
+
+
 def test_empty_and_broken():
     assert main_text(None) == main_text("") == main_text("<html><script>x") == ""
     assert main_text("<p>A stray < sign & an <b unclosed tag in words that go on and on and on.") != ""

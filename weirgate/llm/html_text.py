@@ -48,6 +48,8 @@ BOILER_NAMES = {
     "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "subscribe",
     "subscription", "newsletter", "copyright", "widget", "widgets", "toolbar", "login", "signin", "signup", "search", "tags", "byline", "contentinfo", "complementary", "form", "hidden",
 }
+#: Beginnings of such names, as in commentlist or sponsoredlinks.
+BOILER_STARTS = ("comment", "advert", "sponsor", "cookie", "sidebar", "footer", "masthead", "breadcrumb", "newsletter", "subscri", "promo", "navbar", "navigation", "submenu", "popup", "related", "banner")
 MAIN_NAMES = {"article", "articlebody", "main", "content", "post", "entry", "story", "body", "text"}
 WEIGHTS = {"boiler": -14.0, "main": 6.0, "named_main": 4.0, "outside_main": -4.0, "links": -5.0, "words": 2.0, "sentence": 1.0, "prior": -0.5}
 FOLLOWS, SIBLINGS = 0.6, 0.8
@@ -145,7 +147,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag in MAIN_TAGS:
                 main = True
             elif tag not in ("html", "body"):
-                boiler = boiler or hidden or bool(words & BOILER_NAMES) or tag in BOILER_TAGS
+                boiler = boiler or hidden or bool(words & BOILER_NAMES) or any(w.startswith(BOILER_STARTS) for w in words) or tag in BOILER_TAGS
                 named = named or bool(words & MAIN_NAMES)
             if tag in HEADINGS and main and len(stack) > 2 and stack[-1][0] == "header" and not stack[-2][2]:
                 boiler = hidden  # the article's own headline
