@@ -94,5 +94,6 @@ def test_kpi_mix(spark):
     rows = [(None, False, 1.0, "{}")] * 4 + [(None, True, 1.0, "{}")] * 3 + [(None, False, 1.0, '{"firewall_master":"OFF"}')] * 3
     k = A.kpis(spark.createDataFrame(rows, row)).first()
     assert (k.total, k.blocked, k.bypassed, k.safe) == (10, 3, 3, 4) and k.block_rate == round(3 / 7, 6)
+    assert abs(A.kpis(spark.range(1, 101).selectExpr("timestamp_ntz'2024-01-01' created_at", "false is_blocked", "cast(id as double) execution_time_ms", "'{}' layer_details"), exact=False).first().p95_latency_ms - 95) <= 1
     empty = A.kpis(spark.createDataFrame([], row)).first()
     assert empty.total == 0 and empty.block_rate == 0 and empty.p95_latency_ms == 0
