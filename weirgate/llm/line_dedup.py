@@ -1,10 +1,10 @@
 """Line dedup: which lines of which documents repeat, as compressed bitmaps per document.
 
-Only DataFrame functions. Lines leave their documents as 128-bit hashes, once for each document and
-key, with the positions they hold there. The hashes are dealt by range of (hash, document), so that a
-key that a third of all documents share spans many tasks, and each range is sorted by hash, document
-and position. The sorted ranges are streamed into one row for each key and range (how many documents,
-which occurrence is first) before the rest of the key's rows meet.
+Only DataFrame functions. Lines leave their documents as 128-bit hashes with their positions. The hashes
+are dealt by range of (hash, document), so that a key that a third of all documents share spans many
+tasks, and each range is sorted by hash, document and position. The sorted ranges are streamed into one
+row for each key and range (how many documents, which occurrence is first) before the rest of the key's
+rows meet.
 
 Defined results: null and empty texts have one empty line; empty keys never count; repeated rows of a
 doc_id count as one document, and each of the rows gets its own bitmap; a null doc_id counts as a
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.llm.common import cut
+
 #: Fixed values of the contract: what is stripped from both ends, and which letters lose their case.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,31 +32,25 @@ def line_key(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, h1, h2, lines): one row for each document, key and text; `lines` are the key's positions."""
+    """(doc_id, body, pos, h1, h2): one row for each line whose key is not empty."""
     keyed = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")
     ).select("doc_id", "body", "pos", line_key(F.col("line")).alias("key"))
-    return (
-        keyed.where("key <> ''")
-        .select("doc_id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    )
+    return keyed.where("key <> ''").select("doc_id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
     """(doc_id, body, pos) of each line to drop: its key is in at least `min_docs` documents.
 
-    With `keep_first` the key's first occurrence, by doc_id and then position, stays.
+    With `keep_first` the key's first occurrence, by doc_id and then position, stays. The hashes are made
+    once, and the repeated keys are written, so that the join may split a hot key among tasks.
     """
-    hashes = line_hashes(docs)
-    ranged = hashes.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    # One row for each key and document in a range; the second sum adds a document that two ranges share only once.
+    hashes = cut(line_hashes(docs))
+    ranged = hashes.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    # Streamed: the first position of each key and document, then one row for each key and range before they meet.
     per_doc = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
-    keys = (
-        per_doc.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    found = hashes.join(keys, ["h1", "h2"])
+    keys = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    found = hashes.join(cut(keys.where(F.col("n_docs") >= min_docs)), ["h1", "h2"])
     if keep_first:
         found = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     return found.select("doc_id", "body", "pos")
