@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as P
 from weirgate.llm import mixing
-from weirgate.llm.simhash import fingerprint
+from weirgate.llm.simhash import word_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark):
         first.setdefault(re.sub(r"[ \t-\r]+", " ", start[d]), d)
     assert sorted(exact) == sorted(first.values())
     # Near-dedup keeps the first of each component.
-    fps, root = {d: fingerprint(start[d], 5) for d in exact}, {d: d for d in exact}
+    fps, root = {d: word_fingerprint(start[d], 5) for d in exact}, {d: d for d in exact}
 
     def find(d):
         while root[d] != d:
@@ -54,7 +54,7 @@ def test_stages_against_brute_force(spark):
     ids = sorted(exact)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
+            if (fps[a] ^ fps[b]).bit_count() <= P.NEAR_BITS:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert sorted(near) == sorted({find(d) for d in ids})

@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from weirgate.llm.common import connected_components, cut, text_chunks
 
 SEED, BITS = 42, 64
+#: Texts with fewer distinct words are told apart by their shingles only.
+FEW_WORDS = 32
 #: What a probe costs beside a candidate: it is shuffled, a candidate is compared in place.
 PROBE_COST = 4.0
-#: A bucket with more fingerprints is dense: its members are compared by component. Rows that may be broadcast.
+#: A bucket with more fingerprints of one component is dense: its members are compared by component. Rows that may be broadcast.
 DENSE, BROADCAST_ROWS = 64, 50_000
 
 
@@ -42,25 +44,48 @@ def fingerprint(text: str | None, shingle: int) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    return majority(shingle_hashes(words, shingle))
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
-    pieces = map(joined.__getitem__, map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
     n = len(words) - k + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n)
+    pieces = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[k - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 4096):
+    for i in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[i : i + 4096].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def word_fingerprint(text: str | None, shingle: int) -> int:
+    """SimHash of the distinct words; of the shingles where the text has fewer than FEW_WORDS distinct ones.
+
+    An edit changes one word but `shingle` shingles, so texts whose shingles are 0.8 similar differ in about
+    four bits here and in about ten of a fingerprint over shingles.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0
+    distinct = set(words)
+    if len(distinct) < FEW_WORDS:
+        return majority(shingle_hashes(words, shingle))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct)))
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, by_words: bool = False) -> DataFrame:
     """(doc_id, fp: long) of each row; the fingerprint's 64 bits are those of the signed fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            found = [fingerprint(x, shingle) for x in batch.column("text").to_pylist()]
+            found = [(word_fingerprint if by_words else fingerprint)(x, shingle) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -170,7 +195,7 @@ def link_components(fps: DataFrame, radius: int) -> DataFrame:
     linked = (F.col("fp") < F.col("x")) & (F.col("c") != F.col("xc")) & near(F.col("fp"), F.col("x"), radius)
 
     counts = rows.groupBy("part", "v", "xc").count().groupBy("part", "v")
-    dense = cut(counts.agg(F.max_by("xc", F.struct("count", "xc")).alias("top"), (F.min("xc") != F.max("xc")).alias("mixed"), F.sum("count").alias("n")).where(F.col("n") > DENSE).drop("n"))
+    dense = cut(counts.agg(F.max_by("xc", F.struct("count", "xc")).alias("top"), (F.min("xc") != F.max("xc")).alias("mixed"), F.max("count").alias("n")).where(F.col("n") > DENSE).drop("n"))
     n_dense = dense.count()
     if not n_dense:
         found = probes.join(rows, ["part", "v"]).where(linked)
@@ -187,9 +212,9 @@ def link_components(fps: DataFrame, radius: int) -> DataFrame:
     return known.join(second, F.col("c") == F.col("node"), "left").select("fp", F.coalesce("component", "c").alias("component"))
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def simhash_dedup(docs: DataFrame, shingle: int = 5, radius: int = 4, by_words: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links."""
-    rows = cut(fingerprints(docs, shingle))
+    rows = cut(fingerprints(docs, shingle, by_words))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     components = distinct.join(link_components(distinct.select("fp"), radius), "fp")
     least = components.groupBy("component").agg(F.min("least").alias("component_id"))
