@@ -90,3 +90,16 @@ def test_thresholds_satisfy_the_generalised_pigeonhole():
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, thresholds = simhash.allocate(n, chances, 4)
         assert sum(t + 1 for t in thresholds) == 5
+
+
+def test_word_fingerprints():
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    edited = list(words)
+    for at in rng.sample(range(400), 8):  # five-word shingles about 0.8 similar
+        edited[at] = "changed"
+    a, b = (simhash.word_fingerprint(" ".join(x), 5) for x in (words, edited))
+    assert (a ^ b).bit_count() <= 8 < (a ^ simhash.word_fingerprint(" ".join(words[:200][::-1] + [f"x{i}" for i in range(300)]), 5)).bit_count()
+    assert simhash.word_fingerprint(" ".join(words), 5) == simhash.word_fingerprint("\n ".join(words).upper(), 5)
+    short = "a few words only here now"
+    assert simhash.word_fingerprint(short, 5) == slow_fingerprint(short, 5) and simhash.word_fingerprint(None, 5) == simhash.word_fingerprint(" ", 5) == 0
