@@ -72,3 +72,13 @@ def test_run_and_empty_documents(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = next(r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").collect() if len(r.text) > 300)
+    odd = [(-1, "qzxv kjwq xzzq vvkq zzxj wqxk jjzx " * 5, None), (-2, "Быстрая коричневая лиса прыгает через ленивую собаку", None), (-3, "szybki brązowy lis przeskakuje nad leniwym psem i biegnie do domu przez las", "en"), (-4, text, None)]
+    odd = spark.createDataFrame([(d, t, lang, "src0", len(t)) for d, t, lang in odd], docs.schema)
+    rows = {r.doc_id: r for r in P.identify_language(spark, docs.unionByName(odd), SF).collect()}
+    assert not {-1, -2, -3} & set(rows) and rows[-4].lang == "fr"
+    assert len(rows) == 1 + docs.count()

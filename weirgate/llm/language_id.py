@@ -143,6 +143,11 @@ def corrected_counts(model: Filter, texts: pa.Array) -> np.ndarray:
 
 def predict(model: Filter, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language of each text, and its share of all languages' corrected counts."""
+    return judged(model, texts)[:2]
+
+
+def judged(model: Filter, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same, and as evidence the language's corrected count as a share of the text's n-grams."""
     counts = corrected_counts(model, texts)
     best = counts.argmax(axis=1)  # ties and no evidence: the language with the most labelled documents
     total = counts.sum(axis=1)
@@ -158,7 +163,8 @@ def predict(model: Filter, texts: pa.Array) -> tuple[list[str], np.ndarray]:
             score[i] = 0.0
         else:
             names.append(model.languages[b])
-    return names, score
+    grams = np.bincount(ngrams(texts)[0], minlength=len(texts))
+    return names, score, counts.max(axis=1) / np.maximum(grams, 1)
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -168,17 +174,17 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def classify(docs: DataFrame, model: Filter) -> DataFrame:
-    """docs with lang_pred and score as further columns."""
+    """docs with lang_pred, score and evidence as further columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
             if sent.value.languages:
-                names, score = predict(sent.value, batch.column("text"))
+                names, score, evidence = judged(sent.value, batch.column("text"))
             else:
-                names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                names, score, evidence = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(evidence)], names=[*batch.schema.names, "lang_pred", "score", "evidence"])
 
     fields = docs.schema.fields
-    schema = type(docs.schema)(list(fields)).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema)(list(fields)).add("lang_pred", "string").add("score", "double").add("evidence", "double")
     return docs.mapInArrow(run, schema)
