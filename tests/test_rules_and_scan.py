@@ -103,3 +103,24 @@ def test_flags_and_validation():
     assert R.Rule("bad id", "X", "PII", "LOW", "").problems() == ["rule_id", "pattern", "rule_type"]
     assert R.Rule("RULE_A", "REGEX", "PII", "LOW", "a*").form_problems() == ["regex"] and R.Rule("RULE_A", "REGEX", "PII", "LOW", "a+").form_problems() == []
     assert not R.compiles("(?P<n>a)") and not R.compiles("([")
+
+
+def test_leaks_of_corpus_reads_whole_texts(spark):
+    import json
+    import re
+
+    from weirgate.operators import output_scan
+
+    item = "one two three four five six seven eight nine ten"
+    long = "filler " * 2900
+    texts = {1: f"{long}so {item} end", 2: f"{item} {long}", 3: long, 4: None}
+    items = {10: item}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, text string")
+    got = {r.id: json.loads(r.spans) for r in output_scan.leaks_of_corpus(frame(texts), frame(items), "id", "text", "id").selectExpr("id", "to_json(leak_spans) spans").collect()}
+    words = lambda t: [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+", t or "")]
+    told = {tuple(w for w, _, _ in words(t)[i : i + 8]) for t in items.values() for i in range(len(words(t)) - 7)}
+    for d, t in texts.items():
+        w = words(t)
+        hit = [i for i in range(len(w) - 7) if tuple(x for x, _, _ in w[i : i + 8]) in told]
+        assert [(s["start"], s["end"]) for s in got.get(d, [])] == ([(w[hit[0]][1], w[hit[-1] + 7][2])] if hit else [])
+    assert set(got) == {1, 2}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weirgate.functions.text import SPANS, SYSTEM_PROMPT_LEAK, luhn_ok, match_spans, merge_spans, no_spans, redact, words
 from weirgate.sources.rules import Rule, active_scanner, java_pattern
 
-#: How much of either text the leak detector reads, and words in a row that make a leak.
+#: How much of either text the leak detector of a request reads, and words in a row that make a leak.
 MAX_COMPLETION, MAX_SYSTEM, MIN_WORDS = 20_000, 50_000, 8
 #: Text that must be there for a rule to match, to spare most texts the pattern. Checked in tests.
 NEEDS = {
@@ -66,10 +66,10 @@ def leaks_of_own_system(rows: DataFrame, key: str = "request_id", completion: st
 
 
 def leaks_of_corpus(completions: DataFrame, systems: DataFrame, key: str, text: str, system: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, leak_spans) where a completion repeats min_words words of any of the system texts."""
+    """(key, leak_spans) where a completion repeats min_words words of any of the system texts, all of them whole."""
     k = max(1, min_words)
-    said = shingled(completions, key, F.left(F.col(text), F.lit(MAX_COMPLETION)), k)
-    told = shingled(systems, system, F.left(F.col("text"), F.lit(MAX_SYSTEM)), k).select("h1", "h2").distinct()
+    said = shingled(completions, key, F.col(text), k)
+    told = shingled(systems, system, F.col("text"), k).select("h1", "h2").distinct()
     return runs_to_spans(said.join(told, ["h1", "h2"], "left_semi"), [key], k)
 
 
