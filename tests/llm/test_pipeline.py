@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as P
 from weirgate.llm import mixing
-from weirgate.llm.simhash import word_fingerprint
+from weirgate.llm.simhash import word_fingerprints
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,6 +24,29 @@ def holds(item, text, k):
     return min(row) <= k
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def grouped(ids, linked):
+    """id -> smallest id that links reach."""
+    root = {d: d for d in ids}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(ids)
+    for i, b in enumerate(ids):
+        for a in ids[:i]:
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, "12 %", "en", "src0", 4), (-2, None, None, None, None), (10**6, docs.first().text, "en", "src0", 5)], docs.schema)
@@ -43,21 +66,11 @@ def test_stages_against_brute_force(spark):
     for d in sorted(language):
         first.setdefault(re.sub(r"[ \t-\r]+", " ", start[d]), d)
     assert sorted(exact) == sorted(first.values())
-    # Near-dedup keeps the first of each component.
-    fps, root = {d: word_fingerprint(start[d], 5) for d in exact}, {d: d for d in exact}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    ids = sorted(exact)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= P.NEAR_BITS:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert sorted(near) == sorted({find(d) for d in ids})
+    # Near-dedup keeps the first of each group of documents whose five-word shingles are 0.8 similar.
+    prints, sets = {d: word_fingerprints(start[d]) for d in exact}, {d: shingles(start[d]) for d in exact}
+    candidates = grouped(exact, lambda a, b: any((x ^ y).bit_count() <= P.NEAR_BITS for x, y in zip(prints[a], prints[b])))
+    groups = grouped(exact, lambda a, b: candidates[a] == candidates[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sorted(near) == sorted(set(groups.values())) and len(near) < len(exact)
     # Decontamination drops what holds an item.
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {d for d in near if any(holds(i, words(start[d]), int(0.2 * len(i) + 1e-9)) for i in items if len(i) >= 5)}
@@ -67,6 +80,22 @@ def test_stages_against_brute_force(spark):
     assert set(mixed) == {d for d, r in probability.items() if r.kept}
 
 
+def test_rows_with_null_or_shared_ids_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    long = max((r.text for r in docs.where("lang = 'en'").collect()), key=len)
+    some = [" ".join(f"{w}{i}" for w in "one two three four five six seven eight nine ten".split()) for i in range(4)]
+    rows = [(None, some[0]), (None, some[0] + " more"), (None, some[1]), (7, some[2]), (7, item), (7, long * 20), (8, f"{some[3]} {item}"), (None, item)]
+    odd = spark.createDataFrame([(d, t, "en", "src0", 1, "x", 5, True) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, near_id int, kept boolean")
+    near = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, odd, SF).collect()]
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(near, key=key) == sorted((x for x in rows if x not in ((None, some[0] + " more"), (None, item))), key=key)
+    clean = [(r.doc_id, r.text) for r in P.drop_benchmark_leaks(spark, odd, SF).collect()]
+    assert sorted(clean, key=key) == sorted((x for x in rows if item not in x[1]), key=key)
+    mixed = P.mix_sources(spark, odd, SF)
+    assert mixed.columns == [*P.COLUMNS, "topic", "n_tokens", "probability"] and len(mixed.collect()) == len({(r.doc_id, r.text) for r in mixed.collect()})
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))

@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """df, materialised, with a unique long `row` that stays the same however often it is read."""
+    return cut(df.withColumn("row", F.monotonically_increasing_id()))
+
+
+def small_side(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
+    """Broadcast if its n rows are few enough."""
+    return F.broadcast(df) if n <= most else df
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose `column` holds about `most` bytes; a longer text gets a slice of its own."""
     for batch in batches:
@@ -64,23 +74,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _tables() -> dict[str, np.ndarray]:
     word = np.zeros(256, bool)
     word[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    solid = np.ones(256, bool)
+    solid[list(ASCII_SPACE)] = False
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    return {"word": word, "lower": lower, "letter": mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[lower]}
+    return {"word": word, "solid": solid, "lower": lower, "letter": mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[lower]}
 
 
 class Words:
-    """The words of many texts: maximal runs of ASCII letters, digits and all bytes of non-ASCII characters.
+    """The words of many texts: maximal runs of ASCII letters, digits and all bytes of non-ASCII characters,
+    or, if `spaced`, of anything but ASCII white space.
 
     `row`, `start`, `end` (byte offsets in `data`) and `hash` (64 bits, blind to the case of A-Z) have an
     entry for each word; words of one text stand together.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, spaced: bool = False):
         tables = _tables()
         self.data, self.text_end = text_bytes(texts)
         n = len(self.data)
-        inside = tables["word"][self.data]
+        inside = tables["solid" if spaced else "word"][self.data]
         before = np.empty(n, bool)
         before[:1] = False
         before[1:] = inside[:-1]
@@ -138,37 +151,48 @@ def arrow_map(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its tree) over edges a-b, for nodes that are not the smallest."""
+    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = len(names)
+    low, high = np.minimum(where[: len(a)], where[len(a) :]), np.maximum(where[: len(a)], where[len(a) :])
+    pairs = np.unique(low * n + high)
+    pairs = pairs[pairs // max(n, 1) != pairs % max(n, 1)]
+    root = list(range(n))
+    for x, y in zip((pairs // max(n, 1)).tolist(), (pairs % max(n, 1)).tolist(), strict=True):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for x in range(n):  # a root is smaller than what it roots, so it is final already
+        root[x] = root[root[x]]
+    tops = np.array(root, np.int64)
+    keep = tops != np.arange(n)
+    return names[keep], names[tops[keep]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one partition's edges, in pieces: each piece gives (node, smallest node of its piece)."""
-    size = 1 << 19
-    for batch in _gathered(batches, size):
-        a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-        names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = list(range(len(names)))
-        for x, y in zip(where[: len(a)].tolist(), where[len(a) :].tolist(), strict=True):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            while root[y] != y:
-                root[y] = root[root[y]]
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        for x in range(len(root)):  # a root is smaller than what it roots, so it is final already
-            root[x] = root[root[x]]
-        root = np.array(root)
-        keep = root != np.arange(len(root))
-        yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[root[keep]])], names=["a", "b"])
+    for batch in gathered(batches, 1 << 19):
+        a, b = forest(*(np.asarray(batch.column(i)) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least `size` rows, but for the last one."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= size:
+        n += batch.num_rows
+        if n >= size:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if sum(x.num_rows for x in held):
+            held, n = [], 0
+    if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
