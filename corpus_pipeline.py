@@ -6,9 +6,10 @@ written as Parquet to the folder of spark.checkpoint.dir, so a lost executor cos
 
 Nulls, empty texts and repeated rows: documents without a letter, and those whose n-grams no learned
 language explains, are rejected by the first stage, null and empty texts with them; a null lang becomes
-the identified one; rows that repeat a text are copies, and rows that repeat a doc_id with
-different texts stand or fall together in the later stages; a null doc_id stays only where nothing has
-to be said about it by name.
+the identified one; rows that repeat a text are copies; the later stages decide row by row, whatever the
+doc_id, so rows with a null or shared one stay or go on their own (only the draw of the last stage, a hash
+of doc_id, is one for all rows that share it); other columns are left out at the start; very long texts are
+read whole by every stage.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm import decontaminate, exact_dedup, language_id, mixing, simhash
-from weirgate.llm.common import shared_checkpoints
+from weirgate.llm.common import cut, shared_checkpoints, small_side, with_rows
 
-#: Near copies differ in so many bits at most.
+#: Candidates for near copies differ in so many bits of a fingerprint over words at most.
 NEAR_BITS = 6
 #: Share of a text's n-grams that its language must explain; of held-out documents the least is 0.42, of unlearned languages the most 0.14.
 EVIDENCE = 0.3
@@ -41,28 +42,25 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id.
-
-    Fingerprints are over words: five-word shingles 0.8 similar differ in about ten bits of a fingerprint
-    over shingles, further than probing reaches, but in about four over words.
-    """
-    docs = docs.select(*COLUMNS)
-    gone = simhash.simhash_dedup(docs, shingle=5, radius=NEAR_BITS, by_words=True).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """One document of each group of near copies (five-word shingles 0.8 similar or more), that with the smallest doc_id."""
+    docs = with_rows(docs.select(*COLUMNS))
+    copies = cut(simhash.near_copies(docs, shingle=5, similarity=0.8, radius=NEAR_BITS).where("row <> near_id").select("row"))
+    return docs.join(small_side(copies, copies.count()), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, verbatim or with few edits."""
-    docs = docs.select(*COLUMNS)
-    leaks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    docs = with_rows(docs.select(*COLUMNS))
+    by_row = docs.select(F.col("row").alias("doc_id"), "text")
+    leaks = cut(decontaminate.decontaminate(by_row, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("row")).distinct())
+    return docs.join(small_side(leaks, leaks.count()), "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled mixture, with each document's topic, tokens and probability."""
-    docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(docs).where("kept").select(F.col("doc_id").alias("_id"), "topic", "n_tokens", "probability").dropDuplicates(["_id"])
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    docs = with_rows(docs.select(*COLUMNS))
+    mixed = mixing.mix(docs, carry=("row",)).where("kept").select("row", "topic", "n_tokens", "probability")
+    return docs.join(mixed, "row").drop("row")
 
 
 STAGES = [
