@@ -1,15 +1,22 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is split into blocks of text. A linear classifier gives each block a cost of being called content
-and one of being called boilerplate; these are the capacities of its edges to the two terminals. Blocks
-that follow one another, and blocks that are near in the DOM (children of one parent), are joined by
-smoothness edges. A maximum flow finds the labelling of least total cost.
+A page is split into blocks of text inside a tree of elements. Blocks and elements are the nodes of a graph.
+A linear classifier gives each node a cost of being called content and one of being called boilerplate, the
+capacities of its edges to the two terminals: a block is judged by its words, sentence end and links, an
+element by its tag and, if it is a container, by its name. Smoothness edges join blocks that follow one
+another, a block and its element, and an element and its parent. The side of the source in a minimum cut is
+the content.
 
-Blocks whose own costs outweigh all their smoothness edges have the same label in every minimum cut; they
-are settled first and pass their edges on to their neighbours' terminals, and the flow runs on the rest.
+A block's own costs are weaker than its edge to its element, so short blocks go with what is around them,
+and an element's costs and edges grow with the number of its blocks, so long lists weigh no more than short
+ones against their surroundings.
+
+Nodes whose own costs outweigh all their edges have the same label in every minimum cut; they are settled
+first and pass their edges on to their neighbours' terminals, and the flow runs on the rest.
 
 Defined results: null and empty html give an empty text; unclosed and stray tags are read as a browser
-would at block level; repeated rows stay rows; other columns are ignored.
+would at block level, in time linear in the page, however long; of several minimum cuts the one with the
+fewest content nodes counts; repeated rows stay rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,215 +47,298 @@ CLOSES = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-#: The classifier. Elements and names that hold boilerplate, and such that hold the content.
-BOILER_TAGS = {"head", "nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "select", "option", "button", "search", "address", "label", "legend"}
+#: The classifier. Elements that hold boilerplate, and such that hold the content.
+BOILER_TAGS = {"head", "nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "select", "option", "button", "search", "label", "legend"}
 MAIN_TAGS = {"article", "main"}
+#: Containers, whose class, id, role and itemprop may tell what they hold.
+NAMED_TAGS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details"}
 BOILER_NAMES = {
-    "nav", "navbar", "navigation", "menu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "adslot", "adbox", "promo",
-    "promotion", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus",
-    "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "subscribe",
-    "subscription", "newsletter", "copyright", "widget", "widgets", "toolbar", "login", "signin", "signup", "search", "tags", "byline", "contentinfo", "complementary", "form", "hidden",
+    "nav", "navbar", "navigation", "menu", "submenu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "promo",
+    "promos", "promotion", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "comment", "comments",
+    "commenter", "disqus", "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "subscribe", "subscription", "newsletter", "copyright", "toolbar", "login", "signin", "signup", "search", "contentinfo", "complementary", "form", "hidden",
+}
+#: What may stand beside such a word in a name, as in comment-list or site_footer; any other word makes it a name of something else.
+FILLER = {
+    "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "box", "bar", "list", "wrapper", "wrap", "container", "area", "inner", "outer",
+    "section", "block", "content", "link", "links", "item", "items", "slot", "unit", "panel", "group", "module", "body", "holder", "region", "widget", "widgets", "thread", "reader", "user",
+    "post", "posts", "story", "stories", "article", "articles", "text", "media", "icons", "buttons", "message", "policy", "dialog", "js", "b", "mobile", "desktop", "sticky", "fixed",
 }
-#: Beginnings of such names, as in commentlist or sponsoredlinks.
-BOILER_STARTS = ("comment", "advert", "sponsor", "cookie", "sidebar", "footer", "masthead", "breadcrumb", "newsletter", "subscri", "promo", "navbar", "navigation", "submenu", "popup", "related", "banner")
 MAIN_NAMES = {"article", "articlebody", "main", "content", "post", "entry", "story", "body", "text"}
-WEIGHTS = {"boiler": -14.0, "main": 6.0, "named_main": 4.0, "outside_main": -4.0, "links": -5.0, "words": 2.0, "sentence": 1.0, "prior": -0.5}
-FOLLOWS, SIBLINGS = 0.6, 0.8
+#: Costs of a block (above 0: rather content), and of an element for each block that it holds.
+WEIGHTS = {"prior": -0.8, "words": 1.6, "sentence": 0.4, "links": -1.2, "outside_main": -2.0}
+ELEMENTS = {"boiler_tag": -7.0, "main_tag": 7.0, "boiler_name": -5.0, "main_name": 1.0, "hidden": -20.0, "outside_main": -3.0}
+#: Smoothness: between neighbouring blocks, a block and its element, an element and its parent (and more for each block,
+#: unless its tag or name says that something of its own begins there).
+FOLLOWS, INSIDE, NESTED, NESTED_BLOCK = 0.4, 2.5, 0.5, 1.6
+
+
+class Block(NamedTuple):
+    text: str
+    link_chars: int
+    element: int
+
 
+class Element:
+    """An open or closed element: its parent, what is known of it, and whether it lies in an article."""
 
-class Block:
-    __slots__ = ("boiler", "link_chars", "main", "named", "parent", "tag", "text")
+    __slots__ = ("blocks", "cost", "headline", "main", "parent", "tag")
 
-    def __init__(self, text: str, link_chars: int, tag: str, parent: int, boiler: bool, main: bool, named: bool):
-        self.text, self.link_chars, self.tag, self.parent, self.boiler, self.main, self.named = text, link_chars, tag, parent, boiler, main, named
+    def __init__(self, tag: str, parent: int, cost: float, main: bool, headline: int):
+        self.tag, self.parent, self.cost, self.main, self.headline, self.blocks = tag, parent, cost, main, headline, 0
 
 
-def names_in(attributes: str) -> tuple[set[str], bool]:
-    """Lower-case words of class, id, role and itemprop, whole runs of letters and their camel-case parts; whether the element is hidden."""
-    words: list[str] = []
-    hidden = False
-    for m in ATTRIBUTE.finditer(attributes):
+def words_in(name: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*", name)]
+
+
+def means_boilerplate(name: str) -> bool:
+    """Whether all words of a class or id are names of boilerplate or fillers, and one at least the former."""
+    found = False
+    for word in words_in(name):
+        if word in BOILER_NAMES:
+            found = True
+        elif word not in FILLER:
+            # Two words in one, as in commentlist or sitefooter.
+            parts = [(word[:i], word[i:]) for i in range(2, len(word) - 1)]
+            if not any(x in BOILER_NAMES and (y in FILLER or y in BOILER_NAMES) or x in FILLER and y in BOILER_NAMES for x, y in parts):
+                return False
+            found = True
+    return found
+
+
+def evidence(tag: str, attributes: str) -> float:
+    """What an element's tag, names and visibility say of each of its blocks."""
+    cost = ELEMENTS["boiler_tag"] * (tag in BOILER_TAGS) + ELEMENTS["main_tag"] * (tag in MAIN_TAGS)
+    boiler = main = False
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id", "role", "itemprop"):
-            words += re.findall(r"[a-z]+|[A-Z][a-z]*", value) + re.findall(r"[A-Za-z]+", value)
+        if name in ("class", "id", "role", "itemprop") and tag in NAMED_TAGS:
+            boiler = boiler or any(map(means_boilerplate, value.split()))
+            main = main or any(w in MAIN_NAMES for x in value.split() for w in (*words_in(x), x.lower()))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            hidden = True
-    return {w.lower() for w in words}, hidden
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
-    # An open element: tag, number, and what is known of all that it holds (boiler, main, named).
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-    out: list[Block] = []
-    pieces: list[str] = []
-    numbers = links = link_chars = at = 0
-
-    def end_block() -> None:
-        nonlocal link_chars
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                tag, _, boiler, main, named = stack[-1]
-                heading = tag in HEADINGS
-                parent = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "pre", "blockquote", "td", "th", "dt", "dd") or heading and len(stack) > 1 else stack[-1][1]
-                out.append(Block(text, min(link_chars, len(text)), tag, parent, boiler, main, named))
-            pieces.clear()
-        link_chars = 0
-
-    def add(text: str) -> None:
-        nonlocal link_chars
-        pieces.append(text)
-        if links:
-            link_chars += len(text)
-
-    size = len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else size
-        elif tag == "a":
-            links = 0 if closing else 1
-        elif tag == "br":
-            pieces.append(" ")
-        elif tag in BLOCK:
-            end_block()
-            links = 0
-            if closing:
-                open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if open_at:
-                    del stack[open_at:]
-                continue
-            if stack[-1][0] == "p" or stack[-1][0] in HEADINGS and tag in HEADINGS:
-                stack.pop()
-            if tag in CLOSES:
-                which, within = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in which:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in within:
-                        break
-            if tag in VOID:
+            cost += ELEMENTS["hidden"]
+    return cost + (ELEMENTS["boiler_name"] if boiler else ELEMENTS["main_name"] * main)
+
+
+class Page:
+    """A page's blocks of text in order, and its elements, parents first; the first one stands for the page."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.elements = [Element("", 0, 0.0, False, 0)]
+        self._stack = [0]
+        self._open: dict[str, int] = {}
+        #: Places in the stack of the elements that each rule of CLOSES looks at.
+        self._seen: dict[str, list[int]] = {tag: [] for tag in CLOSES}
+        self._read(page)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        up = self._stack[-1]
+        parent = self.elements[up]
+        cost = evidence(tag, attributes)
+        # An article's own headline in its header is the article's.
+        headline = up if tag == "header" and parent.main else parent.headline if tag in HEADINGS else 0
+        self.elements.append(Element(tag, up, cost, parent.main or tag in MAIN_TAGS, headline))
+        for rule, (which, within) in CLOSES.items():
+            if tag in which or tag in within:
+                self._seen[rule].append(len(self._stack))
+        self._stack.append(len(self.elements) - 1)
+        self._open[tag] = self._open.get(tag, 0) + 1
+
+    def _cut(self, size: int) -> None:
+        """Close elements until the stack has `size`."""
+        while len(self._stack) > size:
+            self._open[self.elements[self._stack.pop()].tag] -= 1
+        for seen in self._seen.values():
+            while seen and seen[-1] >= size:
+                seen.pop()
+
+    def _top(self) -> str:
+        return self.elements[self._stack[-1]].tag
+
+    def _close(self, tag: str) -> None:
+        if self._open.get(tag):
+            size = len(self._stack)
+            while self.elements[self._stack[size - 1]].tag != tag:
+                size -= 1
+            self._cut(size - 1)
+
+    def _before(self, tag: str) -> None:
+        """Close what an opening tag ends."""
+        if self._top() == "p" or self._top() in HEADINGS and tag in HEADINGS:
+            self._cut(len(self._stack) - 1)
+        seen = self._seen.get(tag)
+        if seen and self.elements[self._stack[seen[-1]]].tag in CLOSES[tag][0]:
+            self._cut(seen[-1])
+
+    def _add_block(self, pieces: list[str], link_chars: int) -> None:
+        text = " ".join(html.unescape("".join(pieces)).split())
+        if text:
+            at = self._stack[-1]
+            if self.elements[at].tag in HEADINGS:
+                at = self.elements[at].headline or at
+            self.blocks.append(Block(text, min(link_chars, len(text)), at))
+            self.elements[at].blocks += 1
+
+    def _read(self, page: str) -> None:
+        pieces: list[str] = []
+        at, size, links, link_chars = 0, len(page), False, 0
+        while at < size:
+            m = TOKEN.search(page, at)
+            end = m.start() if m else size
+            if end > at:
+                pieces.append(page[at:end])
+                link_chars += (end - at) * links
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
                 continue
-            numbers += 1
-            _, _, boiler, main, named = stack[-1]
-            words, hidden = names_in(m[3]) if m[3] else (set(), False)
-            if tag in MAIN_TAGS:
-                main = True
-            elif tag not in ("html", "body"):
-                boiler = boiler or hidden or bool(words & BOILER_NAMES) or any(w.startswith(BOILER_STARTS) for w in words) or tag in BOILER_TAGS
-                named = named or bool(words & MAIN_NAMES)
-            if tag in HEADINGS and main and len(stack) > 2 and stack[-1][0] == "header" and not stack[-2][2]:
-                boiler = hidden  # the article's own headline
-            stack.append((tag, numbers, boiler or hidden, main, named))
-    end_block()
-    return out
-
-
-def score(block: Block, page_has_main: bool) -> float:
+            tag, closing = m[2].lower(), m[1] == "/"
+            if tag in RAW:
+                if not closing and not m[3].rstrip().endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                    at = close.end() if close else size
+            elif tag == "a":
+                links = not closing
+            elif tag == "br":
+                pieces.append(" ")
+            elif tag in BLOCK:
+                self._add_block(pieces, link_chars)
+                pieces, links, link_chars = [], False, 0
+                if closing:
+                    self._close(tag)
+                else:
+                    self._before(tag)
+                    if tag not in VOID:
+                        self._push(tag, m[3])
+        self._add_block(pieces, link_chars)
+
+    def graph(self) -> tuple[list[float], list[dict[int, float]]]:
+        """Costs and edges of the nodes: all blocks, then the elements that hold some."""
+        n = len(self.blocks)
+        mass = [e.blocks for e in self.elements]
+        for i in range(len(mass) - 1, 0, -1):
+            mass[self.elements[i].parent] += mass[i]
+        in_main = sum(e.blocks for e in self.elements if e.main)
+        node = {}
+        for i, m in enumerate(mass):
+            if m:
+                node[i] = n + len(node)
+        gain = [block_cost(b, bool(in_main) and not self.elements[b.element].main) for b in self.blocks] + [0.0] * len(node)
+        edges: list[dict[int, float]] = [{} for _ in gain]
+
+        def join(i: int, j: int, weight: float) -> None:
+            edges[i][j] = edges[j][i] = edges[i].get(j, 0.0) + weight
+
+        for i, b in enumerate(self.blocks):
+            join(i, node[b.element], INSIDE)
+            if i:
+                join(i - 1, i, FOLLOWS)
+        for i, at in node.items():
+            gain[at] = self.elements[i].cost * mass[i]
+            if i:
+                join(at, node[self.elements[i].parent], NESTED + NESTED_BLOCK * mass[i] * (self.elements[i].cost == 0))
+            elif in_main:
+                gain[at] += ELEMENTS["outside_main"] * (n - in_main)
+        return gain, edges
+
+
+def block_cost(block: Block, outside_main: bool) -> float:
     """Above 0: rather content."""
     words = block.text.count(" ") + 1
-    total = WEIGHTS["prior"] + WEIGHTS["words"] * min(1.0, words / 12)
-    total += WEIGHTS["boiler"] * block.boiler + WEIGHTS["named_main"] * (block.named and not block.main)
-    total += WEIGHTS["links"] * (block.link_chars / len(block.text)) * (not block.main)
-    total += WEIGHTS["sentence"] * (block.text[-1] in ".!?…:;\"'»”")
-    if page_has_main:
-        total += WEIGHTS["main"] if block.main else WEIGHTS["outside_main"]
-    return total
-
-
-def labels_of(blocks: list[Block]) -> list[bool]:
-    """Which blocks are content: the side of the source in a minimum cut."""
-    n = len(blocks)
-    page_has_main = any(b.main and not b.boiler for b in blocks)
-    gain = [score(b, page_has_main) for b in blocks]
-    edges: list[dict[int, float]] = [{} for _ in blocks]
-
-    def join(i: int, j: int, weight: float) -> None:
-        edges[i][j] = edges[i].get(j, 0.0) + weight
-        edges[j][i] = edges[j].get(i, 0.0) + weight
-
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        if i:
-            join(i - 1, i, FOLLOWS)
-        if b.parent in last:
-            join(last[b.parent], i, SIBLINGS)
-        last[b.parent] = i
+    total = WEIGHTS["prior"] + WEIGHTS["words"] * min(1.0, words / 12) + WEIGHTS["outside_main"] * outside_main
+    total += WEIGHTS["links"] * (block.link_chars / len(block.text))
+    return total + WEIGHTS["sentence"] * (block.text[-1] in ".!?…:;\"'»”")
+
+
+def min_cut(gain: list[float], edges: list[dict[int, float]]) -> list[bool]:
+    """Source side of a minimum cut: gain > 0 is capacity from the source, gain < 0 to the sink; edges go both ways."""
+    n = len(gain)
+    gain, edges = list(gain), [dict(e) for e in edges]
+    weight = [sum(e.values()) for e in edges]
     label: list[bool | None] = [None] * n
     work = list(range(n))
     while work:
         i = work.pop()
-        if label[i] is None and abs(gain[i]) > sum(edges[i].values()):
+        if label[i] is None and abs(gain[i]) > weight[i] + 1e-9:
             label[i] = gain[i] > 0
             for j, w in edges[i].items():
                 gain[j] += w if label[i] else -w
+                weight[j] -= w
                 del edges[j][i]
                 work.append(j)
             edges[i] = {}
-    open_ = [i for i in range(n) if label[i] is None]
-    if open_:
-        side = min_cut([gain[i] for i in open_], [{open_.index(j): w for j, w in edges[i].items()} for i in open_] if len(open_) < 50 else _renumbered(open_, edges))
-        for i, content in zip(open_, side, strict=True):
-            label[i] = content
+    rest = [i for i in range(n) if label[i] is None]
+    if rest:
+        where = {x: k for k, x in enumerate(rest)}
+        for i, side in zip(rest, max_flow([gain[i] for i in rest], [{where[j]: w for j, w in edges[i].items()} for i in rest]), strict=True):
+            label[i] = side
     return [bool(x) for x in label]
 
 
-def _renumbered(nodes: list[int], edges: list[dict[int, float]]) -> list[dict[int, float]]:
-    where = {x: k for k, x in enumerate(nodes)}
-    return [{where[j]: w for j, w in edges[i].items()} for i in nodes]
+def max_flow(gain: list[float], edges: list[dict[int, float]]) -> list[bool]:
+    """Nodes that the source still reaches after a maximum flow, by blocking flows along shortest paths.
 
-
-def min_cut(gain: list[float], edges: list[dict[int, float]]) -> list[bool]:
-    """Source side of a minimum cut: gain > 0 is capacity from the source, gain < 0 to the sink; edges go both ways.
-
-    Maximum flow along shortest augmenting paths.
+    Each phase raises the length of the shortest path, so there are at most as many as nodes, and few in the
+    shallow graphs of pages; a phase looks at every edge once beside its pushes.
     """
-    n = len(gain)
-    rest = [dict(e) for e in edges]
-    supply = [max(0.0, g) for g in gain]
-    demand = [max(0.0, -g) for g in gain]
+    n, small = len(gain), 1e-9
+    left = [max(0.0, g) for g in gain]
+    room = [max(0.0, -g) for g in gain]
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if supply[i] > 1e-9}
-        queue, end = list(came), None
+        level = [-1] * n
+        queue = [i for i in range(n) if left[i] > small]
+        for i in queue:
+            level[i] = 0
+        end = None
         for i in queue:
-            if demand[i] > 1e-9:
-                end = i
+            if end is not None and level[i] >= end:
                 break
-            for j, c in rest[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+            if room[i] > small:
+                end = level[i]
+            for j, c in edges[i].items():
+                if c > small and level[j] < 0:
+                    level[j] = level[i] + 1
                     queue.append(j)
         if end is None:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        amount = min(supply[path[0]], demand[end], *(rest[a][b] for a, b in zip(path, path[1:])))
-        supply[path[0]] -= amount
-        demand[end] -= amount
-        for a, b in zip(path, path[1:]):
-            rest[a][b] -= amount
-            rest[b][a] = rest[b].get(a, 0.0) + amount
+            return [x >= 0 for x in level]
+        todo = [list(e) for e in edges]
+        for start in [i for i in range(n) if left[i] > small]:
+            path = [start]
+            while path and left[start] > small:
+                i = path[-1]
+                if room[i] > small:
+                    amount = min(left[start], room[i], *(edges[a][b] for a, b in zip(path, path[1:])))
+                    left[start] -= amount
+                    room[i] -= amount
+                    for a, b in zip(path, path[1:]):
+                        edges[a][b] -= amount
+                        edges[b][a] = edges[b].get(a, 0.0) + amount
+                    keep = next((k for k, (a, b) in enumerate(zip(path, path[1:])) if edges[a][b] <= small), len(path) - 1)
+                    del path[keep + 1 :]
+                    continue
+                ahead = None
+                while todo[i] and ahead is None:
+                    j = todo[i][-1]
+                    if level[j] == level[i] + 1 and edges[i][j] > small:
+                        ahead = j
+                    else:
+                        todo[i].pop()
+                if ahead is not None:
+                    path.append(ahead)
+                else:
+                    path.pop()
+                    if path:
+                        todo[path[-1]].pop()
 
 
 def main_text(page: str | None) -> str:
     """The content blocks in page order, joined by two newlines."""
-    blocks = blocks_of(page or "")
-    return "\n\n".join(b.text for b, content in zip(blocks, labels_of(blocks), strict=True) if content)
+    read = Page(page or "")
+    labels = min_cut(*read.graph())
+    return "\n\n".join(b.text for b, content in zip(read.blocks, labels) if content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
