@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import random
 import re
+import zlib
 from urllib.parse import quote
 
 import zstandard
@@ -62,3 +64,75 @@ def test_frame_equals_row_by_row(spark):
     want = sorted((d or -1, s.written(brute(t or "")), s.written(s.scan(t or "")[1])) for d, t in docs)
     assert sorted((-1 if r.doc_id is None else r.doc_id or -1, r.base, r.spans) for r in got) == want
     assert s.secret_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def inside(text, span):
+    at, to = span
+    return {x.split(":")[0] for x in spans(text).split(",") if x and at <= int(x.split(":")[1]) and int(x.split(":")[2]) <= to and x.split(":")[0] in ("assign", "access")}
+
+
+def test_layers_that_are_wrapped_packed_twice_or_stand_in_a_path():
+    secret = f"x = 1; password = hunter2hunter2; {KEY}".encode()
+    rest = random.Random(1).randbytes(400).hex().encode()
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda t, n=76, end="\n": end.join(t[i : i + n] for i in range(0, len(t), n))
+    for data in (secret, rest + secret + rest, gzip.compress(rest + secret), gzip.compress(rest) + gzip.compress(secret), bz2.compress(rest) + bz2.compress(secret), zstandard.compress(rest) + zstandard.compress(secret),
+                 zlib.compress(secret), gzip.compress(b64(gzip.compress(secret)).encode()), gzip.compress(bz2.compress(zstandard.compress(secret))), b"\x01\xff" + secret + b"\x00\xfe"):
+        for form in (lambda t: t, lines, lambda t: lines(t, 64, "\r\n"), lambda t: lines(t, 20, "\n  ")):
+            text = f"é see {form(b64(data))} end"
+            assert inside(text, (6, len(text) - 4)) == {"assign", "access"}, (data[:20], form("x" * 100))
+    for before in ("/data/", "a/", "ab-", "https://example.org/q/"):
+        text = before + b64(b"\x01" + secret)
+        assert inside(text, (0, len(text))) == {"assign", "access"}, before
+        text = before + b64(gzip.compress(secret))
+        assert inside(text, (0, len(text))) == {"assign", "access"}, before
+    assert spans("%FF%74oken=abcdef") == "assign:0:17"
+
+
+def test_pieces_of_unpacked_data(monkeypatch):
+    monkeypatch.setattr(s, "PIECE", 1 << 20)
+    for where in (0, 1_000_000, (1 << 20) - 10, 2_500_000):
+        plain = b" " * where + f"token=abcdef1 {KEY}".encode() + b" " * (3_000_000 - where)
+        for pack in (gzip.compress, bz2.compress, zstandard.compress):
+            run = base64.b64encode(pack(plain)).decode()
+            assert inside(run, (0, len(run))) == {"assign", "access"}, (where, pack)
+
+
+def test_data_that_unpacks_to_itself_ends(monkeypatch):
+    calls = []
+
+    def same(data):
+        calls.append(1)
+        yield data
+
+    monkeypatch.setattr(s, "unpacked", same)
+    assert spans(base64.b64encode(gzip.compress(b"nothing")).decode()) == "" and len(calls) <= 2
+    monkeypatch.setattr(s, "unpacked", lambda data: iter([data + b"!"]))  # something new for ever
+    assert spans(base64.b64encode(gzip.compress(b"nothing")).decode()) == ""
+
+
+def wrap(data, rng, depth):
+    """A text with `data` under `depth` layers, and that many layers as functions of text."""
+    text = data
+    for _ in range(depth):
+        kind = rng.randrange(5)
+        raw = text.encode()
+        if kind == 0:
+            text = "".join(f"%{b:02X}" for b in raw)
+        elif kind == 1:
+            text = "".join(f"\\u{ord(c):04x}" for c in text)
+        elif kind == 2:
+            text = base64.b64encode(raw).decode()
+        elif kind == 3:
+            text = base64.urlsafe_b64encode(rng.choice([gzip.compress, zstandard.compress, bz2.compress, zlib.compress])(raw)).decode()
+        else:
+            text = "".join(f"&#{ord(c)};" for c in text)
+    return text
+
+
+def test_nested_layers_are_all_found():
+    rng = random.Random(9)
+    for _ in range(200):
+        plain = rng.choice(["token=abcdef12", f"see {KEY} there", "secret: 'qwertz99'"])
+        text = wrap(plain, rng, rng.randrange(1, 6))
+        assert {k for _, k, _ in s.scan(f"a {text} b")[1]} >= {k for _, k, _ in brute(plain)}, text[:200]

@@ -6,14 +6,18 @@ are known by digest, so a layer that decodes to an earlier one ends there). Each
 characters to a range of the original text, and so do the secrets found in it: escapes map character by
 character, a base64 run as a whole.
 
-Defined results: null texts are empty; ids, ties and repeated rows pass through row by row; other columns
-are ignored. A compressed layer is unpacked up to MAX_UNPACKED bytes, against decompression bombs.
+Base64 is read in every alignment of a run, so that what stands before it in a path or URL does no harm, and
+also over line breaks, as mail and keys wrap it. Compressed data is unpacked wherever it begins in a decoded
+layer, all its members, PIECE bytes at a time with OVERLAP in common. Bytes that are no characters separate.
+
+Defined results: null texts are empty; ids, ties and repeated rows pass through row by row; very long texts
+are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
+Layers deeper than DEPTH are not opened: some compressed data unpacks to something new for ever.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -35,11 +39,18 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 WORDS = ("password", "passwd", "secret", "token", "api")
 
-#: Shortest base64 run that is tried, and the most bytes that one compressed layer may unpack to.
-BASE64_LEAST, MAX_UNPACKED = 16, 64 << 20
+#: Shortest base64 run that is tried (no shorter one can hold a secret), and how deep layers are opened.
+BASE64_LEAST, DEPTH = 16, 100
+#: Bytes of unpacked data that are scanned at once (also the most that packed data inside packed data may take), and what two pieces share.
+PIECE, OVERLAP = 64 << 20, 1 << 16
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Where gzip, bzip2 and zstd data begins; zlib has no such mark and is tried at the start only.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
+#: What decoded bytes must hold to be worth a layer.
+PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|" + PACKED.pattern)
 
 
 def find_assign(text: str) -> list[tuple[int, int]]:
@@ -63,10 +74,13 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """Decoded text; `starts` and `ends` give each character's range in the original, or `whole` that of all."""
+    """Decoded text; `starts` and `ends` give each character's range in the original, or `whole` that of all.
+
+    `data` are the bytes that a layer was read from, where it may be packed.
+    """
 
-    def __init__(self, text: str, starts=None, ends=None, whole: tuple[int, int] | None = None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts=None, ends=None, whole: tuple[int, int] | None = None, data: bytes | None = None, depth: int = 0):
+        self.text, self.starts, self.ends, self.whole, self.data, self.depth = text, starts, ends, whole, data, depth
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -75,6 +89,11 @@ class Layer:
             return start, end
         return self.starts[start], self.ends[end - 1]
 
+    def mark(self) -> bytes:
+        digest = hashlib.blake2b(repr(self.whole).encode(), digest_size=16)
+        digest.update(self.text.encode("utf-8", "surrogatepass") if self.data is None else self.data)
+        return digest.digest()
+
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with all matches that `decode` understands replaced, if there is one."""
@@ -101,14 +120,11 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             s, e = layer.origin(i, i + 1)
             starts.append(s)
             ends.append(e)
-    return Layer("".join(out), starts, ends, layer.whole)
+    return Layer("".join(out), starts, ends, layer.whole, depth=layer.depth + 1)
 
 
-def from_url(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def from_url(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
 def from_escape(m: re.Match) -> str | None:
@@ -116,74 +132,111 @@ def from_escape(m: re.Match) -> str | None:
     return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or zstd data holds; None if it isn't such."""
+def is_zlib(data: bytes) -> bool:
+    return data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """What gzip, zlib, bzip2 or zstd data holds, all members, up to where it breaks off."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, MAX_UNPACKED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED)
         if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(MAX_UNPACKED)
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                while chunk := reader.read(1 << 20):
+                    yield chunk
+            return
+        while data[:2] == b"\x1f\x8b" or is_zlib(data):
+            member = zlib.decompressobj(47)
+            while data and not member.eof:
+                if chunk := member.decompress(data, 1 << 20):
+                    yield chunk
+                data = member.unconsumed_tail
+            data = member.unused_data
+        while data[:3] == b"BZh":
+            member = bz2.BZ2Decompressor()
+            while not member.eof and (data or not member.needs_input):
+                if chunk := member.decompress(data, 1 << 20):
+                    yield chunk
+                data = b""
+            data = member.unused_data
     except (zlib.error, OSError, zstandard.ZstdError, EOFError, ValueError):
-        pass
-    return None
+        return
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """Pieces of what packed data holds."""
+    held, size = [], 0
+    for chunk in _unpacked(data):
+        held.append(chunk)
+        size += len(chunk)
+        if size >= PIECE:
+            piece = b"".join(held)
+            yield piece
+            held, size = [piece[-OVERLAP:]], 0
+    if size or held and len(held) > 1:
+        yield b"".join(held)
 
 
-def from_base64(run: str) -> str | None:
-    """The text inside a base64 run, through any compression; None if it holds none."""
+def decoded(run: str) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a base64 run in its four alignments, where they are worth a layer."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    while (inner := unpacked(data)) is not None:
-        data = inner
-    return readable(data)
+    for offset in range(4):
+        own = body[offset:]
+        own = own[: len(own) - (len(own) % 4 == 1)]
+        if len(own) >= BASE64_LEAST:
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+            if PROMISING.search(data) or not offset and is_zlib(data):
+                yield offset, data
 
 
 def runs_of_base64(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in BASE64.finditer(text)]
+    """Base64 runs, each by itself and joined over line breaks."""
+    return [m.span() for m in BASE64.finditer(text)] + wrapped_runs(text)
+
+
+def wrapped_runs(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WRAPPED.finditer(text)] if "\n" in text else []
 
 
 def opened(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
     """The layers directly inside a layer."""
-    text = layer.text
+    text, depth = layer.text, layer.depth + 1
+    if depth > DEPTH:
+        return
+    if layer.data is not None:
+        begins = [m.start() for m in PACKED.finditer(layer.data)]
+        for at in begins if 0 in begins or not is_zlib(layer.data) else [0, *begins]:
+            for piece in unpacked(layer.data[at:]):
+                yield Layer(piece.decode("utf-8", "replace"), whole=layer.whole, data=piece, depth=depth)
     if "%" in text and (new := replaced(layer, URL, from_url)):
         yield new
     if ("\\" in text or "&#" in text) and (new := replaced(layer, ESCAPE, from_escape)):
         yield new
     for s, e in runs:
-        if (inner := from_base64(text[s:e])) is not None:
-            yield Layer(inner, whole=layer.origin(s, e))
+        run = re.sub(r"\s+", "", text[s:e])
+        for offset, data in decoded(run):
+            # Offsets are less than the first line of a run.
+            yield Layer(data.decode("utf-8", "replace"), whole=layer.origin(s + offset, e), data=data, depth=depth)
 
 
 def scan(text: str, base: list[tuple[int, int, int]] | None = None, runs: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each (start, kind's number, end) in the original. What is known of the first layer may be given."""
     base = find_secrets(text) if base is None else base
-    found, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = list(opened(Layer(text), runs_of_base64(text) if runs is None else runs))
-    while work:
-        layer = work.pop()
-        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + repr(layer.whole).encode(), digest_size=16).digest()
+    first = Layer(text)
+    found, seen = set(base), {first.mark()}
+    work = [opened(first, runs_of_base64(text) if runs is None else runs)]
+    while work:  # children are made one at a time, so that few layers are held at once
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = layer.mark()
         if mark in seen:
             continue
         seen.add(mark)
         for s, k, e in find_secrets(layer.text):
             start, end = layer.origin(s, e)
             found.add((start, k, end))
-        work += opened(layer, runs_of_base64(layer.text))
+        work.append(opened(layer, runs_of_base64(layer.text)))
     return base, sorted(found)
 
 
@@ -238,8 +291,10 @@ def secret_scan(docs: DataFrame) -> DataFrame:
                 runs = []
                 for s, e in bs:
                     e += len(own[e : e + 2]) - len(own[e : e + 2].lstrip(b"="))
-                    if from_base64(own[s:e].decode()) is not None:
+                    if next(decoded(own[s:e].decode()), None):
                         runs.append((point(s), point(e)))
+                if bs:
+                    runs += wrapped_runs(text)
                 if not base and not runs and "%" not in text and "\\" not in text and "&#" not in text:
                     out.append((0, 0, 0, "", ""))
                     continue
