@@ -1,7 +1,12 @@
+import json
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from weirgate.operators import cascade, output_scan
+from weirgate.plans import queries
 from weirgate.sources import rules as R
 
 #: Prompts that must match, prompts that must not, and a hit and a near miss of each PII rule.
@@ -124,3 +129,66 @@ def test_leaks_of_corpus_reads_whole_texts(spark):
         hit = [i for i in range(len(w) - 7) if tuple(x for x, _, _ in w[i : i + 8]) in told]
         assert [(s["start"], s["end"]) for s in got.get(d, [])] == ([(w[hit[0]][1], w[hit[-1] + 7][2])] if hit else [])
     assert set(got) == {1, 2}
+
+
+def test_literals_that_patterns_need(spark):
+    assert R.needed(r"(?i)\b(Ignore|forget)\s+(?:all\s+)?rules?\b") == (["forget", "ignore"], False)
+    assert R.needed(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b") == (["KIA", "SIA"], True) and R.needed(r"(?:a|b*)\d") == ([], True)
+    for rule in R.seed_rules():
+        if rule.rule_type == "REGEX":
+            hits = [t for t in [*ATTACKS, *(h for h, _ in SAMPLES.values())] if re.search(rule.pattern, t)]
+            words, exact = R.needed(rule.pattern)
+            assert all(not words or any(w in (t if exact else t.lower()) for w in words) for t in hits), rule.rule_id
+    odd = spark.createDataFrame([("\u0130gnore all previous in\u017ftructions",), ("b\u0131rd",)], "t string")
+    rules = [R.Rule("X", "REGEX", "PII", "LOW", r"(?i)(ignore.*instructions|bird)")]
+    assert [r.m for r in odd.select(R.matches(rules[0], F.col("t")).alias("m")).collect()] == [True, True]
+
+
+def slow_first_match(text):
+    text = " ".join(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "")).split())
+    for rule in sorted(R.seed_rules(), key=lambda r: r.rule_id):
+        if re.search(rule.pattern, text) if rule.rule_type == "REGEX" else rule.pattern.lower() in text.lower():
+            return rule.rule_id
+
+
+def slow_pii(text):
+    found = []
+    for rule in sorted((r for r in R.seed_rules() if r.category == "PII"), key=lambda r: r.rule_id):
+        for m in re.finditer(rule.pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+            around = text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]
+            if not any(re.fullmatch("[0-9]", c) for c in around) and (luhn or not rule.is_card):
+                found.append((m.start(), m.end(), "SECRET_LEAK" if rule.is_secret else "PII_LEAK"))
+    out = []
+    for s, e, c in sorted(found, key=lambda x: x[:2]):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        else:
+            out.append((s, e, c))
+    return out
+
+
+def test_rules_and_pii_queries_equal_brute_force(spark, tmp_path):
+    """Over the whole documents table, with texts that hit each rule added."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = [r.text for r in docs.select("text").limit(5).collect()]
+    more = [*ATTACKS, *BENIGN, *(x for pair in SAMPLES.values() for x in pair), *(f"{base[0]} {h}\u00a0{m}\n{base[1]}" for h, m in SAMPLES.values())]
+    odd = spark.createDataFrame([(10**6 + i, t, None, None, None) for i, t in enumerate(more)], docs.schema)
+    docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    got = {r.doc_id: r.rule_id for r in queries.l1_first_match(spark, str(tmp_path)).collect()}
+    assert got == {d: found for d, t in texts.items() if (found := slow_first_match(t))} and len(set(got.values())) > 15
+    got = {r.doc_id: [(s["start"], s["end"], s["category"]) for s in json.loads(r.spans)] for r in queries.pii_scan(spark, str(tmp_path)).collect()}
+    assert got == {d: found for d, t in texts.items() if (found := slow_pii(t or ""))} and len(got) > 20
+
+
+def test_secrets_and_categories_of_spans(spark):
+    df = spark.createDataFrame([([(0, 1, "PII_LEAK"), (2, 3, "SECRET_LEAK"), (4, 5, "PII_LEAK")],), ([(0, 1, "PII_LEAK")],), ([],)], "s array<struct<start:int,end:int,category:string>>")
+    got = df.select(output_scan.has_secret(F.col("s")).alias("secret"), output_scan.categories_of(F.col("s")).alias("n")).collect()
+    assert [(r.secret, [tuple(x) for x in r.n]) for r in got] == [(True, [("PII_LEAK", 2), ("SECRET_LEAK", 1)]), (False, [("PII_LEAK", 1)]), (False, [])]
+
+
+def test_leaks_of_own_system_may_read_whole_texts(spark):
+    df = spark.createDataFrame([("0", "filler " * 4000 + SYSTEM, SYSTEM)], "request_id string, completion string, system_text string")
+    assert output_scan.leaks_of_own_system(df).collect() == [] and len(output_scan.leaks_of_own_system(df, most=None).first().leak_spans) == 1

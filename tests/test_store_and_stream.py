@@ -62,6 +62,7 @@ def test_log_sink_retention_and_csv(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", [1], None), ("ok", [], "-x")], "`=a` string, b array<int>, c string")
     exports.write_csv(rows, str(tmp_path / "csv"))
     got = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"')
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in (tmp_path / "csv").glob("*.csv"))
     assert got.columns == ["'=a", "b", "c"] and sorted(r[0] for r in got.collect()) == ["'=1+1", "ok"]
 
 
@@ -97,3 +98,72 @@ def test_kpi_mix(spark):
     assert abs(A.kpis(spark.range(1, 101).selectExpr("timestamp_ntz'2024-01-01' created_at", "false is_blocked", "cast(id as double) execution_time_ms", "'{}' layer_details"), exact=False).first().p95_latency_ms - 95) <= 1
     empty = A.kpis(spark.createDataFrame([], row)).first()
     assert empty.total == 0 and empty.block_rate == 0 and empty.p95_latency_ms == 0
+
+
+def test_union_of_columns_in_first_seen_order(spark):
+    out = exports.with_all_columns([spark.range(1).selectExpr("1 b", "2 a"), spark.range(1).selectExpr("3 c", "4 a")])
+    assert out.columns == ["b", "a", "c"] and sorted(map(str, map(tuple, out.collect()))) == ["(1, 2, None)", "(None, 4, 3)"]
+
+
+def test_bad_rows_go_without_those_that_share_their_id(spark, tmp_path):
+    log = threat_logs(read(spark, SF, "events")).drop("kind").limit(1)
+    exports.write_logs(log.union(log.withColumn("action_taken", F.lit("LOST"))), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 1 == spark.read.parquet(str(tmp_path / "log_quarantine")).count()
+
+
+def test_demo_reset_and_retention_keep_the_rollup(spark, tmp_path):
+    from weirgate.sources.demo import demo_logs
+
+    path, kept = str(tmp_path / "log"), str(tmp_path / "rollup")
+    log = threat_logs(read(spark, SF, "events")).drop("kind")
+    demo = demo_logs(spark, 200, 5, "2024-01-12").drop("kind").withColumn("application_id", F.lit("demo"))
+    exports.write_logs(log.unionByName(demo), path)
+    exports.write_rollup(A.hourly_rollup(spark.read.parquet(path)), kept)
+    assert S.reset_demo(spark, path, kept, F.col("application_id") == "demo", str(tmp_path / "scratch")) == 200
+    assert S.reset_demo(spark, path, kept, F.col("application_id") == "demo", str(tmp_path / "scratch")) == 0
+    left = spark.read.parquet(path)
+    assert sorted(r.request_id for r in left.collect()) == sorted(r.request_id for r in log.collect())
+    counts = lambda df: sorted((r.bucket_start, r.total_requests) for r in df.collect())
+    want = counts(A.hourly_rollup(log))
+    assert counts(spark.read.parquet(kept)) == want
+    assert S.retire(spark, path, kept, "2024-01-10") == 9
+    assert counts(spark.read.parquet(kept)) == want and spark.read.parquet(path).agg(F.min("created_at")).first()[0].day == 10
+
+
+def test_each_request_of_a_stream_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:01"), ("a", "2024-01-01 00:10:00")], "request_id string, created_at string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = rollup.unique_requests(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("unique_requests").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.request_id for r in spark.table("unique_requests").collect()) == ["a", "b"]
+
+
+def test_pages_snap_and_points_have_aliases(spark):
+    from weirgate.functions import format as N
+
+    log = threat_logs(read(spark, SF, "events"))
+    rows, page, pages = A.search_snapped(log, A.LogFilters(), 10**6, 200)
+    assert page == pages == -(-log.count() // 200) and rows.count() == log.count() - 200 * (pages - 1)
+    assert A.search_snapped(log, A.LogFilters(client_ip="none"), 7)[1:] == (1, 1)
+    df = spark.createDataFrame([(None, 2), (1, 3)], "time int, bucket_start int")
+    assert [r[0] for r in df.select(N.first_of(df.columns, "time", "bucket_start", "x")).collect()] == [2, 1]
+
+
+def test_config_follows_its_files(tmp_path):
+    from weirgate.operators import cascade as C
+    from weirgate.operators.scoring import positive
+
+    path, overlay = tmp_path / "c.json", tmp_path / "o.json"
+    config = C.ConfigFile(str(path), str(overlay))
+    assert config.current() == C.CascadeConfig()
+    path.write_text(json.dumps({"layer_2": {"high_confidence_threshold": 0.9}}))
+    assert config.current().high == 0.9
+    overlay.write_text(json.dumps({"output_scanner": {"on_detect": "block"}}))
+    assert (config.current().high, config.current().on_detect) == (0.9, "block")
+    for bad in ("{nope", "[1]", '{"layer_2": {"high_confidence_threshold": 7.0}}'):
+        path.write_text(bad)
+        assert (config.current().high, config.current().on_detect) == (0.9, "block")
+    path.write_text("{}")
+    overlay.unlink()
+    assert config.current() == C.CascadeConfig()
+    assert [positive(x, 5.0) for x in (2, 0.5, 0, -1, float("inf"), float("nan"), True, "3", None)] == [2.0, 0.5] + [5.0] * 7

@@ -38,6 +38,12 @@ def point_time(x: Column) -> Column:
     return F.coalesce(F.timestamp_micros((seconds * 1_000_000).cast("long")), F.try_to_timestamp(x))
 
 
+def first_of(columns: list[str], *aliases: str) -> Column:
+    """The first of the aliases that is there and not null, as a chart's points name their parts differently."""
+    have = [F.col(f"`{a}`") for a in aliases if a in columns]
+    return F.coalesce(*have) if have else F.lit(None)
+
+
 def with_both_latencies(avg: Column, p95: Column) -> tuple[Column, Column]:
     """A missing side is imputed from the other by a factor of 1.8."""
     return F.coalesce(finite(avg), finite(p95) / 1.8), F.coalesce(finite(p95), finite(avg) * 1.8)

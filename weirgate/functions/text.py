@@ -5,8 +5,10 @@ Spans are arrays of struct<start int, end int, category string>, half-open, in c
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ from pyspark.sql import types as T
 
 WORDS = T.ArrayType(T.StructType().add("word", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 SPANS = "array<struct<start:int,end:int,category:string>>"
-ASCII = r"^\p{ASCII}*$"
+#: Texts of ASCII and common letters and marks that NFKC leaves as they are.
+STABLE = r"^[\x00-\x7f¡§©«¬®°±¶·»¿\xc0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u052f\u2013\u2014\u2018-\u201e]*+$"
+#: White space as Python's \s has it.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PLACEHOLDER = "[REDACTED:{category}]"
 SYSTEM_PROMPT_LEAK = "SYSTEM_PROMPT_LEAK"
 
@@ -23,6 +28,11 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def once(column: Column) -> Column:
+    """The column as a generator of one row, which no later filter or projection evaluates again. For withColumn."""
+    return F.explode_outer(F.array(column))
+
+
 def unicode_strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -43,7 +53,7 @@ def match_spans(text: Column, pattern: str, category: str) -> Column:
         return F.struct((s + x["h"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: F.filter(acc["spans"], lambda s: s["end"] > s["start"]))
-    return F.when(F.size(hits) > 0, spans).otherwise(no_spans())
+    return F.when(text.rlike(pattern), spans).otherwise(no_spans())
 
 
 def merge_spans(spans: Column, length: Column) -> Column:
@@ -113,27 +123,77 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def normalised_with_ranges(text: str) -> tuple[str, np.ndarray | None, np.ndarray | None]:
+    """The text as scanners read it, and each character's range in the original; None: no character moves."""
+    lower = text.lower()
+    if text.isascii() or len(lower) == len(text) and unicodedata.is_normalized("NFKC", text) and not any(unicodedata.category(c) == "Cf" for c in set(text)):
+        return lower, None, None  # runs of white space stay, which no word notices
+    norm, starts, ends = _normalised(text)
+    return norm, np.array(starts, np.int64), np.array(ends, np.int64)
+
+
 @F.pandas_udf(WORDS)
 def _words_of_any(texts: pd.Series) -> pd.Series:
-    import re
-
     def words(text: str | None) -> list[dict]:
-        norm, starts, ends = _normalised(text or "")
-        return [{"word": m[0], "start": starts[m.start()], "end": ends[m.end() - 1]} for m in re.finditer(r"\w+", norm)]
+        norm, starts, ends = normalised_with_ranges(text or "")
+        ranges = ((m[0], *m.span()) for m in re.finditer(r"\w+", norm))
+        return [{"word": w, "start": s if starts is None else int(starts[s]), "end": e if ends is None else int(ends[e - 1])} for w, s, e in ranges]
 
     return texts.map(words)
 
 
+class WordHashes:
+    """128-bit hashes of the words of texts, and of runs of them, in numpy."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self):
+        self.inside = np.zeros(0x110000, bool)
+        self.inside[[c for c in range(0x30000) if chr(c).isalnum()]] = True  # what \w+ has; no letters lie beyond
+        self.inside[ord("_")] = True
+        self.powers = np.ones((4, 1), np.uint64)
+
+    def _upto(self, n: int) -> np.ndarray:
+        """Powers of the bases and of their inverses."""
+        if self.powers.shape[1] < n:
+            of = np.array([*self.BASES, *(pow(b, -1, 1 << 64) for b in self.BASES)], np.uint64)
+            steps = np.repeat(of[:, None], max(n, 1 << 14), axis=1)
+            steps[:, 0] = 1
+            self.powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+        return self.powers
+
+    def runs(self, text: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, two hashes) of each run of k words of the normalised text, in ranges of the original."""
+        norm, starts, ends = normalised_with_ranges(text)
+        points = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.flatnonzero(np.diff(self.inside[points].astype(np.int8), prepend=0, append=0))
+        first, last = edges[::2], edges[1::2]
+        n = max(0, len(first) - k + 1)
+        powers = self._upto(len(points) + 1)
+        out = np.zeros((2, n), np.uint64)
+        for i in range(2):
+            sums = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[i, : len(points)], out=sums[1:])
+            words = (sums[last] - sums[first]) * powers[2 + i, first]
+            words ^= words >> np.uint64(29)
+            words *= np.uint64(self.BASES[1 - i])
+            words ^= words >> np.uint64(32)
+            for j in range(k):
+                out[i] = out[i] * np.uint64(self.BASES[i]) + words[j : j + n]
+        begin, end = first[:n], last[k - 1 :]
+        return (begin, end, out) if starts is None else (starts[begin], ends[end - 1], out)
+
+
 def _only(column: Column, condition: Column) -> Column:
     """The value where the condition holds, else null: what a Python function must not see costs it nothing."""
     return F.when(condition, column)
 
 
 def normalise_for_rules(text: Column) -> Column:
-    """NFKC, white space to single spaces, stripped; null is empty. Only non-ASCII texts meet Python."""
+    """NFKC, white space to single spaces, stripped; null is empty. Only texts that NFKC may change meet Python."""
     text = F.coalesce(text, F.lit(""))
-    folded = F.coalesce(_nfkc(_only(text, ~text.rlike(ASCII))), text)
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    folded = F.coalesce(_nfkc(_only(text, ~text.rlike(STABLE))), text)
+    return F.trim(F.regexp_replace(folded, SPACE + "+", " "))
 
 
 def ascii_words(text: Column) -> Column:

@@ -1,12 +1,14 @@
 """The input cascade: rules, then a score with two thresholds, then a judge for what lies between.
 
-A layer sees only rows that the layers before it have not decided: the frame is split by filters, so
-that a costly scorer or judge is never called for a decided row.
+One pass over the rows. A column `undecided` tells a scorer or judge which rows the layers before it have
+left to it, so that a costly one is called once for such a row and never for another.
 """
 
 from __future__ import annotations
 
 import json
+import logging
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgate.functions.text import normalise_for_rules
-from weirgate.sources.rules import Rule, active_layer_1, matches
+from weirgate.functions.text import normalise_for_rules, once
+from weirgate.sources.rules import Rule, active_layer_1, folded, matches
+
+LOG = logging.getLogger(__name__)
 
 #: Fixed values of the verdict format.
 VERDICTS = ("ALLOW", "BLOCK", "REDACT")
@@ -24,6 +28,9 @@ MAX_REPLY, MAX_RATIONALE = 10_000, 300
 VERDICT = T.StructType().add("decision", T.StringType()).add("rationale", T.StringType()).add("sanitized_prompt", T.StringType())
 DECISION = ("action_taken", "triggered_layer", "is_blocked", "risk_score", "rule_id", "verdict_status", "sanitized_prompt")
 
+#: True where no layer before has decided.
+UNDECIDED = "undecided"
+
 #: A scorer or judge adds its columns to the rows it is given.
 Scorer = Callable[[DataFrame], DataFrame]
 Judge = Callable[[DataFrame], DataFrame]
@@ -83,74 +90,102 @@ def load_config(path: str, overlay: str | None = None, base: CascadeConfig = Cas
     return base
 
 
-def first_match(rules: list[Rule], text: Column) -> Column:
+class ConfigFile:
+    """A config that follows its files: read again when path, time or size of one changes; an invalid file is ignored."""
+
+    def __init__(self, path: str, overlay: str | None = None, base: CascadeConfig = CascadeConfig()):
+        self.path, self.overlay, self.base = path, overlay, base
+        self._seen: tuple | None = None
+        self._config = base
+
+    def _signature(self) -> tuple:
+        found = []
+        for name in filter(None, (self.path, self.overlay)):
+            try:
+                stat = os.stat(name)
+                found.append((name, stat.st_mtime_ns, stat.st_size))
+            except OSError:
+                found.append((name, None, None))
+        return tuple(found)
+
+    def current(self) -> CascadeConfig:
+        now = self._signature()
+        if now != self._seen:
+            self._seen = now
+            there = [name for name, at, _ in now if at is not None]
+            try:
+                self._config = load_config(there[0], there[1] if len(there) > 1 else None, self.base) if there else self.base
+            except (OSError, ValueError, TypeError, AttributeError) as e:
+                LOG.warning("config stays as it was: %s", e)
+        return self._config
+
+
+def first_match(rules: list[Rule], text: Column, lower: Column | None = None) -> Column:
     """The first matching rule, by rule_id, as a struct; null without one. Rules after the match are not evaluated."""
     found = F.lit(None).cast("struct<rule_id:string,category:string,severity:string>")
     for rule in reversed(active_layer_1(rules)):
         if rule.rule_type == "EXCLUSION":
             continue
         as_struct = F.struct(*(F.lit(getattr(rule, c)).alias(c) for c in ("rule_id", "category", "severity")))
-        found = F.when(matches(rule, text), as_struct).otherwise(found)
+        found = F.when(matches(rule, text, lower), as_struct).otherwise(found)
     return found
 
 
 def evaluate_rules(rows: DataFrame, rules: list[Rule], prompt: str = "prompt", system: str | None = None) -> DataFrame:
-    """rows with a struct column `layer_1`. The normalised text is a column of its own, so it is made once."""
+    """rows with a struct column `layer_1`. The normalised text, its lower case and the match are each made once a row."""
     text = F.coalesce(F.col(prompt), F.lit(""))
     if system:
         text = F.concat(text, F.lit(" "), F.coalesce(F.col(system), F.lit("")))
-    return rows.withColumn("_normalised", normalise_for_rules(text)).withColumn("layer_1", first_match(rules, F.col("_normalised"))).drop("_normalised")
+    made = rows.withColumn("_normalised", once(normalise_for_rules(text))).withColumn("_lower", once(folded(F.col("_normalised"))))
+    return made.withColumn("layer_1", once(first_match(rules, F.col("_normalised"), F.col("_lower")))).drop("_normalised", "_lower")
 
 
 def threshold(score: Column, config: CascadeConfig) -> Column:
     return F.when(score >= config.high, "BLOCK").when(score <= config.low, "PASS").when(score.isNotNull(), "ESCALATE")
 
 
-def decided(rows: DataFrame, action: Column | str, layer: str, risk: Column, rule: Column | None = None, status: Column | None = None, text: Column | None = None) -> DataFrame:
-    action = F.lit(action) if isinstance(action, str) else action
-    none = F.lit(None).cast("string")
-    return rows.select(
-        "*", action.alias("action_taken"), F.lit(layer).alias("triggered_layer"), (action == "BLOCKED").alias("is_blocked"), F.coalesce(risk, F.lit(0.0)).alias("risk_score"),
-        (none if rule is None else rule).alias("rule_id"), (none if status is None else status).alias("verdict_status"), (none if text is None else text).alias("sanitized_prompt"),
-    )
-
-
 def run_cascade(rows: DataFrame, rules: list[Rule], scorer: Scorer | None, judge: Judge | None, config: CascadeConfig = CascadeConfig()) -> DataFrame:
-    """rows (a column prompt) with the columns of DECISION.
+    """rows (a column prompt) with the columns of DECISION, in one pass.
 
     scorer adds `score`, null where it cannot tell; judge adds `verdict`, a struct of VERDICT, null where
-    it cannot tell, which blocks.
+    it cannot tell, which blocks. Both see all rows, and only what they say of rows with `undecided` counts;
+    the ones of `scoring` leave the others out.
     """
-    keep = rows.columns
+    none = F.lit(None).cast("string")
     if not config.firewall_enabled:
-        return decided(rows, "PASSED", "NONE", F.lit(0.0), status=F.lit("bypassed"))
-    parts = []
-    rest = rows
-    if config.layer_1_enabled:
-        usable = [r for r in rules if r.category not in config.l1_exclude_categories]
-        rest = evaluate_rules(rest, usable)
-        parts.append(decided(rest.where("layer_1 is not null"), "BLOCKED", "LAYER_1", F.lit(1.0), F.col("layer_1.rule_id")).select(*keep, *DECISION))
-        rest = rest.where("layer_1 is null").drop("layer_1")
+        risk, passed = F.lit(0.0), F.struct(F.lit("PASSED").alias("action"), F.lit("NONE").alias("layer"), F.lit("bypassed").alias("status"))
+        return _with_decision(rows, rows.columns, passed, risk, none, none)
+    made = evaluate_rules(rows, [r for r in rules if r.category not in config.l1_exclude_categories] if config.layer_1_enabled else [])
+    undecided, said = F.col("layer_1").isNull(), lambda action, layer, status=None: F.struct(F.lit(action).alias("action"), F.lit(layer).alias("layer"), F.lit(status).cast("string").alias("status"))
+    decision = F.when(~undecided, said("BLOCKED", "LAYER_1"))
+    risk, cleaned = F.when(~undecided, F.lit(1.0)), none
     if not config.layer_2_enabled or scorer is None:
-        parts.append(decided(rest, "PASSED", "NONE", F.lit(0.0), status=F.lit("unavailable")).select(*keep, *DECISION))
+        decision, risk = decision.otherwise(said("PASSED", "NONE", "unavailable")), F.coalesce(risk, F.lit(0.0))
+        return _with_decision(made, rows.columns, decision, risk, F.col("layer_1.rule_id"), cleaned)
+    made = scorer(made.withColumn(UNDECIDED, undecided)).withColumn("score", once(F.col("score")))
+    layer_2 = threshold(F.col("score"), config)
+    decision = decision.when(layer_2.isNull(), said("PASSED", "NONE", "error")).when(layer_2 == "BLOCK", said("BLOCKED", "LAYER_2")).when(layer_2 == "PASS", said("PASSED", "NONE"))
+    risk = F.coalesce(risk, F.col("score"), F.lit(0.0))
+    if not config.layer_3_enabled or judge is None:
+        decision = decision.otherwise(said("PASSED", "NONE", "disabled"))
     else:
-        scored = scorer(rest).withColumn("_l2", F.coalesce(threshold(F.col("score"), config), F.lit("ERROR")))
-        risk = F.col("score")
-        parts.append(decided(scored.where("_l2 = 'BLOCK'"), "BLOCKED", "LAYER_2", risk).select(*keep, *DECISION))
-        parts.append(decided(scored.where("_l2 in ('PASS', 'ERROR')"), "PASSED", "NONE", risk, status=F.when(F.col("_l2") == "ERROR", "error")).select(*keep, *DECISION))
-        unsure = scored.where("_l2 = 'ESCALATE'")
-        if not config.layer_3_enabled or judge is None:
-            parts.append(decided(unsure, "PASSED", "NONE", risk, status=F.lit("disabled")).select(*keep, *DECISION))
-        else:
-            judged = judge(unsure)
-            verdict, cleaned = F.col("verdict.decision"), F.col("verdict.sanitized_prompt")
-            action = F.when(verdict == "ALLOW", "PASSED").when((verdict == "REDACT") & (F.trim(F.coalesce(cleaned, F.lit(""))) != ""), "REDACTED").otherwise("BLOCKED")
-            status = F.when(verdict.isNull(), "degraded").otherwise("ok")
-            parts.append(decided(judged, action, "LAYER_3", risk, status=status, text=F.when(action == "REDACTED", cleaned)).select(*keep, *DECISION))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        unsure = undecided & F.coalesce(layer_2 == "ESCALATE", F.lit(False))
+        made = judge(made.withColumn(UNDECIDED, unsure)).withColumn("verdict", once(F.col("verdict")))
+        verdict, cleaned = F.col("verdict.decision"), F.col("verdict.sanitized_prompt")
+        decision = (
+            decision.when(verdict.isNull(), said("BLOCKED", "LAYER_3", "degraded")).when(verdict == "ALLOW", said("PASSED", "LAYER_3", "ok"))
+            .when((verdict == "REDACT") & (F.trim(F.coalesce(cleaned, F.lit(""))) != ""), said("REDACTED", "LAYER_3", "ok")).otherwise(said("BLOCKED", "LAYER_3", "ok"))
+        )
+    return _with_decision(made, rows.columns, decision, risk, F.col("layer_1.rule_id"), cleaned)
+
+
+def _with_decision(rows: DataFrame, keep: list[str], decision: Column, risk: Column, rule_id: Column, cleaned: Column) -> DataFrame:
+    """The kept columns and those of DECISION, from a struct of action, layer and status."""
+    action = F.col("_decision.action")
+    return rows.withColumn("_decision", decision).select(
+        *keep, action.alias("action_taken"), F.col("_decision.layer").alias("triggered_layer"), (action == "BLOCKED").alias("is_blocked"), risk.alias("risk_score"),
+        rule_id.alias("rule_id"), F.col("_decision.status").alias("verdict_status"), F.when(action == "REDACTED", cleaned).alias("sanitized_prompt"),
+    )
 
 
 def json_objects(text: str) -> list[dict]:
@@ -172,9 +207,9 @@ def shortened(text: str) -> str:
     return text if len(text) <= MAX_RATIONALE else text[: MAX_RATIONALE - 3] + "..."
 
 
-def read_verdict(reply: str | None) -> tuple[str, str, str | None] | None:
-    """(decision, rationale, sanitised prompt) of a judge's reply; None if it is not to be trusted."""
-    said = [x for x in json_objects((reply or "")[:MAX_REPLY]) if "decision" in x]
+def read_verdict(reply: str | None, most: int | None = MAX_REPLY) -> tuple[str, str, str | None] | None:
+    """(decision, rationale, sanitised prompt) of a judge's reply, of which `most` characters are read; None if it is not to be trusted."""
+    said = [x for x in json_objects((reply or "")[:most]) if "decision" in x]
     named = {x["decision"].strip().upper() if isinstance(x["decision"], str) else None for x in said}
     if len(named) != 1 or not named <= set(VERDICTS):
         return None

@@ -287,6 +287,14 @@ def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+def search_snapped(logs: DataFrame, filters: LogFilters, page: int = 1, size: int = 50) -> tuple[DataFrame, int, int]:
+    """(the page, its number, number of pages): a page beyond the last one is the last one. Counts the matches first."""
+    size = clamp(size, 1, 200)
+    pages = page_count(logs.where(filters.predicate()).count(), size)
+    page = clamp(page, 1, pages)
+    return search(logs, filters, page, size)[0], page, pages
+
+
 def export(logs: DataFrame, filters: LogFilters, limit: int = 10_000) -> DataFrame:
     return logs.where(filters.predicate()).orderBy(F.desc("created_at"), F.desc("request_id")).limit(clamp(limit, 1, 10_000))
 

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weirgate.functions.text import SPANS, SYSTEM_PROMPT_LEAK, luhn_ok, match_spans, merge_spans, no_spans, redact, words
-from weirgate.sources.rules import Rule, active_scanner, java_pattern
+from weirgate.functions.text import SPANS, SYSTEM_PROMPT_LEAK, WordHashes, luhn_ok, match_spans, merge_spans, no_spans, once, redact
+from weirgate.sources.rules import Rule, active_scanner, java_pattern, may_match
 
 #: How much of either text the leak detector of a request reads, and words in a row that make a leak.
 MAX_COMPLETION, MAX_SYSTEM, MIN_WORDS = 20_000, 50_000, 8
-#: Text that must be there for a rule to match, to spare most texts the pattern. Checked in tests.
-NEEDS = {
-    "RULE_PII_EMAIL_01": "@", "RULE_PII_PHONE_01": "+", "RULE_PII_SECRET_AWS_01": "IA", "RULE_PII_SECRET_GITHUB_01": "gh", "RULE_PII_SECRET_OPENAI_01": "sk-",
-    "RULE_PII_SECRET_SLACK_01": "xox", "RULE_PII_SECRET_GOOGLE_01": "AIza", "RULE_PII_SECRET_PRIVKEY_01": "PRIVATE KEY", "RULE_PII_SECRET_JWT_01": "eyJ",
-}
 
 
 def rule_spans(rule: Rule, text: Column) -> Column:
@@ -27,7 +26,8 @@ def rule_spans(rule: Rule, text: Column) -> Column:
     free = lambda s: ~((s["start"] > 0) & digit(s["start"])) & ~digit(s["end"] + 1)
     card = lambda s: luhn_ok(F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^0-9]", ""))
     kept = F.filter(spans, lambda s: free(s) & card(s) if rule.is_card else free(s))
-    return F.when(F.contains(text, F.lit(NEEDS[rule.rule_id])), kept).otherwise(no_spans()) if rule.rule_id in NEEDS else kept
+    first = may_match(rule.pattern, text)
+    return kept if first is None else F.when(first, kept).otherwise(no_spans())
 
 
 def pii_spans(rules: list[Rule], text: Column) -> Column:
@@ -38,13 +38,18 @@ def pii_spans(rules: list[Rule], text: Column) -> Column:
 
 def shingled(rows: DataFrame, key: str, text: Column, min_words: int) -> DataFrame:
     """(key, i, start, end, h1, h2): each run of min_words words by its number, range and 128-bit hash."""
-    listed = rows.select(key, words(text).alias("w"))
-    run = lambda i: F.slice("w", i + 1, F.lit(min_words))
-    n = F.size("w") - min_words + 1
-    at = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        i.alias("i"), F.get("w", i)["start"].alias("start"), F.get("w", i + min_words - 1)["end"].alias("end"),
-        F.xxhash64(F.transform(run(i), lambda x: x["word"])).alias("h1"), F.xxhash64(F.lit(1), F.transform(run(i), lambda x: x["word"])).alias("h2"))))
-    return listed.where(n > 0).select(key, at.alias("s")).select(key, "s.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                start, end, found = hashes.runs(batch.column(1)[at].as_py() or "", min_words)
+                if n := len(start):
+                    columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in found)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, at))), *columns], names=[key, "i", "start", "end", "h1", "h2"])
+
+    named = rows.select(key, text.alias("text"))
+    return named.mapInArrow(run, T.StructType([named.schema[key], *T.StructType.fromDDL("i int, start int, end int, h1 long, h2 long").fields]))
 
 
 def runs_to_spans(hits: DataFrame, keys: list[str], min_words: int) -> DataFrame:
@@ -57,11 +62,15 @@ def runs_to_spans(hits: DataFrame, keys: list[str], min_words: int) -> DataFrame
     return per_run.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("leak_spans"))
 
 
-def leaks_of_own_system(rows: DataFrame, key: str = "request_id", completion: str = "completion", system: str = "system_text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, leak_spans) where a completion repeats min_words words of its own request's system text."""
+def leaks_of_own_system(rows: DataFrame, key: str = "request_id", completion: str = "completion", system: str = "system_text", min_words: int = MIN_WORDS, most: tuple[int, int] | None = (MAX_COMPLETION, MAX_SYSTEM)) -> DataFrame:
+    """(key, leak_spans) where a completion repeats min_words words of its own request's system text.
+
+    `most` bounds the characters that a live request has read of both texts; None reads them whole.
+    """
     k = max(1, min_words)
-    said = shingled(rows, key, F.left(F.col(completion), F.lit(MAX_COMPLETION)), k)
-    told = shingled(rows, key, F.left(F.col(system), F.lit(MAX_SYSTEM)), k).select(key, "h1", "h2").distinct()
+    texts = [F.left(F.col(c), F.lit(n)) for c, n in zip((completion, system), most)] if most else [F.col(completion), F.col(system)]
+    said = shingled(rows, key, texts[0], k)
+    told = shingled(rows, key, texts[1], k).select(key, "h1", "h2").distinct()
     return runs_to_spans(said.join(told, [key, "h1", "h2"], "left_semi"), [key], k)
 
 
@@ -80,12 +89,23 @@ def scan(rows: DataFrame, rules: list[Rule], policy: str = "redact", enabled: bo
     text = F.coalesce(F.col(completion), F.lit(""))
     found = rows.withColumn("_pii", pii_spans(rules, text)).join(leaks_of_own_system(rows, key, completion, system), key, "left")
     spans = F.array_sort(F.concat(F.coalesce("leak_spans", no_spans()), F.col("_pii")).cast(SPANS))
-    found = found.withColumn("spans", spans).drop("_pii", "leak_spans").withColumn("output_flagged", F.size("spans") > 0)
+    found = found.withColumn("spans", once(spans)).drop("_pii", "leak_spans").withColumn("output_flagged", F.size("spans") > 0)
     action = F.when(F.col("output_flagged"), policy.upper()).otherwise("PASS")
     out = F.when(action == "BLOCK", F.lit(None)).when(action == "REDACT", redact(text, F.col("spans"))).otherwise(F.col(completion))
     return found.select("*", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["category"]))).alias("categories"), action.alias("scan_action"), out.alias("delivered"))
 
 
+def has_secret(spans: Column) -> Column:
+    """Whether one of the spans is a leaked secret."""
+    return F.exists(spans, lambda s: s["category"] == "SECRET_LEAK")
+
+
+def categories_of(spans: Column) -> Column:
+    """(category, n) of the spans, in order of category."""
+    names = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["category"])))
+    return F.transform(names, lambda c: F.struct(c.alias("category"), F.size(F.filter(spans, lambda s: s["category"] == c)).alias("n")))
+
+
 def redact_choices(choices: Column, spans_by_choice: Column) -> Column:
     """A completion's choices with the content of each index in the map redacted; other indices stay."""
 

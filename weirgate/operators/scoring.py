@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgate.operators.cascade import Judge, Scorer, read_verdict
+from weirgate.operators.cascade import UNDECIDED, VERDICT, Judge, Scorer, read_verdict
 
 
 def pandas_scorer(load: Callable[[], Callable[[pd.Series], np.ndarray]], text: str = "prompt") -> Scorer:
@@ -23,14 +23,21 @@ def pandas_scorer(load: Callable[[], Callable[[pd.Series], np.ndarray]], text: s
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
+            texts = batch.dropna()
             try:
-                found = np.clip(np.asarray(model(batch.fillna("")), float), 0.0, 1.0)
+                found = np.clip(np.asarray(model(texts), float), 0.0, 1.0) if len(texts) else np.zeros(0)
             except Exception:
-                found = np.full(len(batch), np.nan)
-            yield pd.Series([None if not np.isfinite(x) else float(x) for x in found], index=batch.index)
+                found = np.full(len(texts), np.nan)
+            yield pd.Series(np.where(np.isfinite(found), found, None), index=texts.index, dtype=object).reindex(batch.index)
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return lambda df: df.withColumn("score", F.pandas_udf(scores, T.DoubleType())(F.col(text)))
+    return lambda df: df.withColumn("score", F.pandas_udf(scores, T.DoubleType())(left_to_it(df, text)))
+
+
+def left_to_it(df: DataFrame, text: str) -> Column:
+    """The text of undecided rows, null for others, which a function in Python then leaves out."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.when(F.col(UNDECIDED), own) if UNDECIDED in df.columns else own
 
 
 def onnx_scorer(path: str, encode: Callable[[list[str]], dict[str, np.ndarray]], attack_label: int = 1, text: str = "prompt") -> Scorer:
@@ -55,6 +62,12 @@ def onnx_scorer(path: str, encode: Callable[[list[str]], dict[str, np.ndarray]],
     return pandas_scorer(load, text)
 
 
+def positive(value: object, default: float) -> float:
+    """A setting that must be a positive finite number, such as a timeout; else the default."""
+    ok = isinstance(value, (int, float)) and not isinstance(value, bool) and np.isfinite(value) and value > 0
+    return float(value) if ok else default
+
+
 def text_judge(connect: Callable[[], Callable[[str], str]], question: str = "judge_prompt", fallback: str = "BLOCK") -> Judge:
     """A judge from `connect`, which gives a function from a question to a reply in free text; it never raises.
 
@@ -62,25 +75,24 @@ def text_judge(connect: Callable[[], Callable[[str], str]], question: str = "jud
     """
     fallback = fallback if fallback in ("ALLOW", "BLOCK") else "BLOCK"
 
-    def judge(df: DataFrame) -> DataFrame:
-        schema = T.StructType([*df.schema.fields]).add("verdict", T.StructType().add("decision", "string").add("rationale", "string").add("sanitized_prompt", "string"))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = connect()
-            for batch in batches:
-                verdicts = []
-                for q in batch[question]:
-                    try:
-                        verdict = read_verdict(ask(q)) or (fallback, "degraded: malformed_response", None)
-                    except TimeoutError:
-                        verdict = (fallback, "degraded: timeout", None)
-                    except ConnectionError:
-                        verdict = (fallback, "degraded: connection_error", None)
-                    except Exception:
-                        verdict = (fallback, "degraded: unexpected_error", None)
-                    verdicts.append(dict(zip(("decision", "rationale", "sanitized_prompt"), verdict, strict=True)))
-                yield batch.assign(verdict=verdicts)
-
-        return df.mapInPandas(run, schema)
-
-    return judge
+    def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ask = connect()
+        for batch in batches:
+            found = []
+            for q in batch:
+                if q is None:
+                    found.append((None, None, None))
+                    continue
+                try:
+                    verdict = read_verdict(ask(q)) or (fallback, "degraded: malformed_response", None)
+                except TimeoutError:
+                    verdict = (fallback, "degraded: timeout", None)
+                except ConnectionError:
+                    verdict = (fallback, "degraded: connection_error", None)
+                except Exception:
+                    verdict = (fallback, "degraded: unexpected_error", None)
+                found.append(verdict)
+            yield pd.DataFrame(found, columns=list(VERDICT.names), index=batch.index)
+
+    verdicts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return lambda df: df.withColumn("verdict", F.pandas_udf(verdicts, VERDICT)(left_to_it(df, question)))

@@ -259,10 +259,9 @@ def hits_by_category(spark, sf_dir):
     return A.categories_of_hits(logs(spark, sf_dir), R.rules_frame(spark, R.seed_rules()))
 
 
-@query(r"select doc_id, case when regexp_matches(text, '^[=+\-@\t\r]') then '''' || text else text end as cell from (select doc_id, case when doc_id % 3 = 0 then '=' || left(text, 40) else left(text, 40) end as text from documents)")
+@query(r"select doc_id, case when regexp_matches(text, '^[=+\-@\t\r]') then '''' || text else text end as cell from (select doc_id, case when doc_id % 3 = 0 then '=' || text else text end as text from documents)")
 def csv_neutralize(spark, sf_dir):
-    cut = F.left("text", F.lit(40))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), cut)).otherwise(cut).alias("cell"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text")).alias("cell"))
     return csv_ready(docs)
 
 
@@ -274,13 +273,13 @@ def prompts_and_system(spark, sf_dir):
 
 @query(r"""
     with u as (select conv_id, max(turn) filter (role = 'user') last_turn, coalesce(max_by(coalesce(text, ''), turn) filter (role = 'user'), '') prompt from conversations group by 1),
-    h as (select conv_id, turn, left(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), 120) t from conversations join u using (conv_id) where role <> 'system' and turn < last_turn),
+    h as (select conv_id, turn, left(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), 2000) t from conversations join u using (conv_id) where role <> 'system' and turn < last_turn),
     l as (select conv_id, t, turn, row_number() over (partition by conv_id order by turn desc, t desc) r from h where t <> '')
     select u.conv_id, count(r) turns_used, coalesce(string_agg(t, chr(10) order by turn, t) || chr(10), '') || any_value(prompt) scorer_text
     from u left join l on u.conv_id = l.conv_id and r <= 5 group by u.conv_id""")
 def layer2_text(spark, sf_dir):
     convs = extraction.conversations(read(spark, sf_dir, "conversations"))
-    turns = extraction.context_turns(F.col("history"), 5, 120)
+    turns = extraction.context_turns(F.col("history"), cascade.CascadeConfig.context_turns, cascade.CascadeConfig.context_chars)
     return convs.select("conv_id", F.size(turns).cast("long").alias("turns_used"), extraction.scorer_text(turns, F.col("prompt")).alias("scorer_text"))
 
 
@@ -305,11 +304,28 @@ def pii_card_hits(spark, sf_dir):
 
 @query()
 def pii_scan(spark, sf_dir):
-    found = read(spark, sf_dir, "documents").select("doc_id", "text", output_scan.pii_spans(R.seed_rules(), F.coalesce("text", F.lit(""))).alias("spans"))
+    found = read(spark, sf_dir, "documents").select("doc_id", "text", T.once(output_scan.pii_spans(R.seed_rules(), F.coalesce("text", F.lit("")))).alias("spans"))
     return found.where(F.size("spans") > 0).select("doc_id", F.to_json("spans").alias("spans"), T.redact(F.col("text"), F.col("spans")).alias("redacted"))
 
 
-@query()
+#: Words as \\w+ has them, for texts that normalising does not change.
+_WORD = r"[\p{L}\p{N}_]+"
+_SHINGLES_SQL = f"""(select id, i, start, stop, string_agg(word, ' ') over r run, count(*) over r n from (
+        select id, i, word, sum(length(gap) + length(word)) over (partition by id order by i) stop, sum(length(gap) + length(word)) over (partition by id order by i) - length(word) start from (
+            select id, unnest(range(len(words))) i, unnest(words) word, unnest(gaps[:len(words)]) gap from (
+                select id, regexp_extract_all(lower(text), '{_WORD}') words, regexp_split_to_array(lower(text), '{_WORD}') gaps from %s)))
+        window r as (partition by id order by i rows between current row and 7 following))"""
+
+
+@query(f"""
+    with said as (from {_SHINGLES_SQL % "(select doc_id id, text from documents)"} where n = 8),
+    told as (select distinct run from {_SHINGLES_SQL % "(select item_id id, text from benchmark)"} where n = 8),
+    words as (from {_SHINGLES_SQL % "(select doc_id id, text from documents)"}),
+    ends as (select l.id, l.i, l.start, w.stop from said l join words w on w.id = l.id and w.i = l.i + 7 where l.run in (select run from told)),
+    new as (select *, coalesce(i - lag(i) over (partition by id order by i) > 8, true)::int new from ends),
+    runs as (select *, sum(new) over (partition by id order by i) run from new),
+    spans as (select id, min(start) s, max(stop) e from runs group by id, run)
+    select id doc_id, '[' || string_agg('{{"start":' || s || ',"end":' || e || ',"category":"SYSTEM_PROMPT_LEAK"}}', ',' order by s) || ']' leak_spans from spans group by id""")
 def leak_scan(spark, sf_dir):
     found = output_scan.leaks_of_corpus(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id")
     return found.select("doc_id", F.to_json("leak_spans").alias("leak_spans"))
@@ -331,19 +347,22 @@ def l1_first_match(spark, sf_dir):
     return cascade.evaluate_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), R.seed_rules(), "text").where("layer_1 is not null").select("doc_id", "layer_1.rule_id", "layer_1.category")
 
 
-@query("""
+#: A deny phrase that occurs in the table; no seed rule does, so the tests cover those.
+DENIED = R.Rule("RULE_DENY_KEYWORD_04", "KEYWORD", "JAILBREAK", "LOW", "Tion the")
+
+
+@query(r"""
     with s as (select conv_id, coalesce(max_by(coalesce(text, ''), turn) filter (role = 'user'), '') prompt from conversations group by 1),
-    x as (select conv_id, (length(prompt) % 100) / 100.0::double score from s)
-    select conv_id, case when score >= 0.85 then 'BLOCKED' when score <= 0.3 then 'PASSED' when conv_id % 2 = 0 then 'PASSED' else 'BLOCKED' end action_taken,
-        case when score >= 0.85 then 'LAYER_2' when score <= 0.3 then 'NONE' else 'LAYER_3' end triggered_layer, score risk_score from x""")
+    x as (select conv_id, contains(lower(regexp_replace(prompt, '\s+', ' ', 'g')), 'tion the') l1, (length(prompt) % 100) / 100.0::double score from s)
+    select conv_id, case when l1 or score >= 0.85 then 'BLOCKED' when score <= 0.3 then 'PASSED' when conv_id % 2 = 0 then 'PASSED' else 'BLOCKED' end action_taken,
+        case when l1 then 'LAYER_1' when score >= 0.85 then 'LAYER_2' when score <= 0.3 then 'NONE' else 'LAYER_3' end triggered_layer, case when l1 then 1 else score end risk_score,
+        case when l1 then 'RULE_DENY_KEYWORD_04' end rule_id from x""")
 def cascade_decisions(spark, sf_dir):
     convs = extraction.conversations(read(spark, sf_dir, "conversations")).select("conv_id", "prompt")
     scorer = lambda df: df.withColumn("score", (F.length("prompt") % 100) / 100.0)
     said = F.when(F.col("conv_id") % 2 == 0, "ALLOW").otherwise("BLOCK")
     judge = lambda df: df.withColumn("verdict", F.struct(said.alias("decision"), F.lit("").alias("rationale"), F.lit(None).cast("string").alias("sanitized_prompt")))
-    # Rules that match no prompt of the table leave every row to the scorer.
-    keywords = [r for r in R.seed_rules() if r.rule_type == "KEYWORD"]
-    return cascade.run_cascade(convs, keywords, scorer, judge).select("conv_id", "action_taken", "triggered_layer", "risk_score")
+    return cascade.run_cascade(convs, [*R.seed_rules(), DENIED], scorer, judge).select("conv_id", "action_taken", "triggered_layer", "risk_score", "rule_id")
 
 
 @query("""

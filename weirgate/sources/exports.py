@@ -5,19 +5,20 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirgate.functions.text import neutralize_formula
-from weirgate.sources.tables import violations
+from weirgate.sources.tables import violated, violations
 
 
 def write_logs(rows: DataFrame, path: str, max_rows: int = 0) -> None:
     """Append rows, partitioned by day; rows outside the log's domains go to `path`_quarantine instead."""
     bad = violations(rows)
-    ok = rows.join(bad.select("request_id"), "request_id", "left_anti")
+    ok = rows.where(F.size(violated(rows.columns)) == 0)
     day = F.col("created_at").cast("date")
     ok.withColumn("log_date", day).sortWithinPartitions("log_date", "created_at").write.mode("append").option("maxRecordsPerFile", max_rows).partitionBy("log_date").parquet(path)
     bad.write.mode("append").parquet(f"{path}_quarantine")
@@ -45,8 +46,17 @@ def csv_ready(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    csv_ready(rows).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
+def with_all_columns(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames with the columns of all, in the order in which they first occur; null where a frame has none."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def write_csv(rows: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV files in UTF-8; each begins with a byte order mark, by which spreadsheets tell the encoding, unless `mark` is off."""
+    out = csv_ready(rows)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
 
 
 def replace_file(path: str, value: dict) -> None:

@@ -15,7 +15,8 @@ from dataclasses import asdict, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.sources.exports import replace_file
+from weirgate.operators.log_analytics import hourly_rollup
+from weirgate.sources.exports import replace_file, write_rollup
 from weirgate.sources.rules import Rule, rules_frame
 from weirgate.sources.tables import AUDIT_LOGS
 
@@ -162,4 +163,46 @@ def delete_before(spark: SparkSession, path: str, cutoff_day: str) -> int:
     return len(old)
 
 
-__all__ = ["RuleError", "RuleStore", "audit_message", "delete_before", "latest_master_change", "seed_difference"]
+def retire(spark: SparkSession, path: str, rollup_path: str, cutoff_day: str) -> int:
+    """Retention in order: the rollup of the days to go is made from the log once more, then they are deleted.
+
+    Later rollups read the log as it is then, so no deleted hour is ever made anew.
+    """
+    write_rollup(hourly_rollup(spark.read.parquet(path).where(F.col("log_date") < F.lit(cutoff_day).cast("date")), exact=False), rollup_path)
+    return delete_before(spark, path, cutoff_day)
+
+
+def reset_demo(spark: SparkSession, path: str, rollup_path: str, is_demo: Column, scratch: str) -> int:
+    """Delete the log's demo rows and make the rollup of their days anew; the number of deleted rows.
+
+    Only days with demo rows are rewritten: what stays of them is written to `scratch`, compared by count and
+    fingerprint with the log's other rows, and then takes the days' place.
+    """
+    log = spark.read.parquet(path)
+    demo = log.where(F.coalesce(is_demo, F.lit(False)))
+    days = [r[0] for r in demo.select("log_date").distinct().collect()]  # days of a log are few
+    if not days:
+        return 0
+    n = demo.count()
+    other = log.where(~F.coalesce(is_demo, F.lit(False)) & F.col("log_date").isin(days))
+    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*sorted(set(log.columns) - {"log_date"})).cast("decimal(38,0)"))).first()
+    other.write.mode("overwrite").partitionBy("log_date").parquet(scratch)
+    kept = spark.read.schema(log.schema).option("basePath", scratch).parquet(scratch)
+    if print_of(kept) != print_of(other):
+        raise RuntimeError("the rows that stay differ from those of the log; nothing was deleted")
+    fs, jvm = _files(spark, path)
+    for day in days:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/log_date={day}"), True)
+    kept.write.mode("append").partitionBy("log_date").parquet(path)
+    for day in days:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{rollup_path}/day={day}"), True)
+    write_rollup(hourly_rollup(spark.read.schema(log.schema).parquet(path).where(F.col("log_date").isin(days)), exact=False), rollup_path)
+    return n
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+__all__ = ["RuleError", "RuleStore", "audit_message", "delete_before", "latest_master_change", "reset_demo", "retire", "seed_difference"]

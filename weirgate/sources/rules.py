@@ -165,10 +165,70 @@ def rules_fingerprint(frame: DataFrame) -> DataFrame:
     return rows.agg(F.sha2(F.coalesce(F.expr(r"listagg(line, '\n') within group (order by rule_id)"), F.lit("")), 256).alias("fingerprint"))
 
 
-def matches(rule: Rule, text: Column) -> Column:
+#: Letters that a pattern blind to case may take for i, i, s and k, and that lower() leaves.
+ODD_LETTERS = "\u0130\u0131\u017f\u212a"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the odd letters as a pattern blind to case reads them."""
+    return F.lower(F.when(text.rlike(f"[{ODD_LETTERS}]"), F.translate(text, ODD_LETTERS, "iisk")).otherwise(text))
+
+
+def needed(pattern: str) -> tuple[list[str], bool]:
+    """ASCII literals of which every match holds at least one (none: there are no such), and whether case counts.
+
+    Where it does not, the literals are in lower case.
+    """
+    from re import _constants as c
+    from re import _parser
+
+    tree = _parser.parse(pattern)
+    blind = bool(tree.state.flags & re.I)
+
+    def better(a: list[str], b: list[str]) -> list[str]:
+        return max(a, b, key=lambda x: (min(map(len, x), default=0), -len(x)))
+
+    def of(items) -> list[str]:
+        best: list[str] = []
+        run = ""
+        for op, arg in items:
+            if op is c.LITERAL and arg < 128:
+                run += chr(arg).lower() if blind else chr(arg)
+                continue
+            best, run, found = better(best, [run] if run else []), "", []
+            if op is c.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                found = sorted({x for p in parts for x in p}) if all(parts) else []
+            elif op is c.SUBPATTERN and not arg[1] and not arg[2]:  # no flags of its own
+                found = of(arg[-1])
+            elif op is c.ATOMIC_GROUP:
+                found = of(arg)
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] > 0:
+                found = of(arg[2])
+            best = better(best, found)
+        return better(best, [run] if run else [])
+
+    return of(tree), not blind
+
+
+def may_match(pattern: str, text: Column, lower: Column | None = None) -> Column | None:
+    """A cheap condition that holds wherever the pattern matches; None if there is none. `lower`: the folded text."""
+    words, exact = needed(pattern)
+    if not words:
+        return None
+    if not exact and any(map(str.isalpha, "".join(words))):
+        text = folded(text) if lower is None else lower
+    found = F.contains(text, F.lit(words[0]))
+    for word in words[1:]:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
+def matches(rule: Rule, text: Column, lower: Column | None = None) -> Column:
     """Whether an already normalised text matches; null for types that are never evaluated or do not compile."""
     if rule.rule_type == "REGEX" and compiles(rule.pattern):
-        return text.rlike(java_pattern(rule.pattern))
+        whole, first = text.rlike(java_pattern(rule.pattern)), may_match(rule.pattern, text, lower)
+        return whole if first is None else first & whole
     if rule.rule_type == "KEYWORD":
-        return F.contains(F.lower(text), F.lit(rule.pattern.lower()))
+        return F.contains(F.lower(text) if lower is None else lower, F.lit(rule.pattern.lower()))
     return F.lit(None).cast("boolean")

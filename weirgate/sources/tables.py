@@ -100,7 +100,11 @@ def threat_logs(events: DataFrame) -> DataFrame:
     return logs.withColumn("layer_details", _details(F.col("kind")))
 
 
+def violated(columns: list[str], domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
+    """The names of the columns whose value is outside its domain."""
+    return F.array_compact(F.array(*(F.when(~F.coalesce(F.col(c).isin(*values), F.lit(False)), F.lit(c)) for c, values in domains.items() if c in columns)))
+
+
 def violations(rows: DataFrame, columns: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """Rows outside a domain, with the names of the offending columns: the quarantine side of a write."""
-    wrong = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(c).isin(*values), F.lit(False)), F.lit(c)) for c, values in columns.items() if c in rows.columns)))
-    return rows.withColumn("violated", wrong).where(F.size("violated") > 0)
+    return rows.withColumn("violated", violated(rows.columns, columns)).where(F.size("violated") > 0)

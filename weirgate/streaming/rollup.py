@@ -18,7 +18,7 @@ LATENESS = "3 hours"
 
 
 def windowed_rollup(stream: DataFrame) -> DataFrame:
-    """hourly_rollup over a stream of log rows, with a watermark; each request counts once."""
+    """hourly_rollup over a stream of log rows, with a watermark. Where requests may repeat, unique_requests comes first."""
     layer = lambda name: F.count_if((F.col("triggered_layer") == name) & F.col("is_blocked"))
     timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", LATENESS)
     sums = timed.groupBy(F.window("created_at", "1 hour")).agg(
@@ -30,6 +30,7 @@ def windowed_rollup(stream: DataFrame) -> DataFrame:
 
 
 def unique_requests(stream: DataFrame) -> DataFrame:
+    """The first row of each request_id that comes within LATENESS; append mode."""
     timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
     return timed.withWatermark("created_at", LATENESS).dropDuplicatesWithinWatermark(["request_id"])
 
