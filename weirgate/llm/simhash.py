@@ -328,18 +328,22 @@ def linked_nodes(entries: DataFrame, radius: int, same: DataFrame | None = None)
     big = cut(rows.groupBy("seed", "part", "v").count().where(F.col("count") > TILE).select("seed", "part", "v", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     n_big = big.count()
 
-    def tiled(df: DataFrame, tile) -> DataFrame:
-        if n_big:
-            df = df.join(small_side(big, n_big), ["seed", "part", "v"], "left")
-        else:
-            df = df.withColumn("tiles", F.lit(None).cast("int"))
-        return df.withColumn("tile", tile)
+    def in_own_tile(df: DataFrame) -> DataFrame:
+        if not n_big:
+            return df.withColumn("tile", F.lit(0))
+        tiles = df.join(small_side(big, n_big), ["seed", "part", "v"], "left")
+        return tiles.withColumn("tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")).drop("tiles")
+
+    def in_all_tiles(df: DataFrame) -> DataFrame:
+        if not n_big:
+            return df.withColumn("tile", F.lit(0))
+        few = small_side(big, n_big)
+        many = df.join(few, ["seed", "part", "v"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+        return df.join(few, ["seed", "part", "v"], "left_anti").withColumn("tile", F.lit(0)).unionByName(many)
 
     hashed = lambda df, probe: df.select(F.xxhash64("seed", "part", "v", "tile").alias("key"), F.lit(probe).alias("probe"), "fp", "c")
-    own_tile = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
-    all_tiles = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
 
-    links = _sorted_by_key(hashed(tiled(rows, own_tile), False), _inside_buckets(radius))
+    links = _sorted_by_key(hashed(in_own_tile(rows), False), _inside_buckets(radius))
     first = connected_components(links if same is None else links.union(same))
     known = cut(entries.join(first, "node", "left").select("seed", "fp", F.coalesce("component", "node").alias("c")))
 
@@ -348,7 +352,7 @@ def linked_nodes(entries: DataFrame, radius: int, same: DataFrame | None = None)
         balls = balls.when(F.col("part") == i, F.array(*map(F.lit, masks)))
     rows = index(known, "c")
     probes = rows.select("seed", "part", F.explode(F.transform(balls, lambda m: F.col("v").bitwiseXOR(m))).alias("v"), "fp", "c")
-    meeting = hashed(tiled(rows, own_tile), False).union(hashed(tiled(probes, all_tiles), True))
+    meeting = hashed(in_own_tile(rows), False).union(hashed(in_all_tiles(probes), True))
     second = connected_components(_sorted_by_key(meeting, _rows_and_probes(radius)))
     # `first` names every linked node's component, `second` what became of such components and of lone nodes.
     second = second.select(F.col("node").alias("c"), F.col("component").alias("joined"))
