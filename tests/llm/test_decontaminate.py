@@ -71,6 +71,53 @@ def test_best_stretch():
     assert D.best_stretch(a, a[:0]) == (5, 0, 0)
 
 
+def test_every_occurrence_is_found(spark):
+    item, other = passage(20), passage(30)
+    docs = {
+        0: item + passage(3) + item,
+        1: item * 6,
+        2: edited(item, 2) + passage(2) + item + passage(200) + edited(item, 4) + item,
+        3: item + other + item,
+        4: other[:24],
+        5: passage(5),
+    }
+    rows = D.decontaminate(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string"),
+    ).collect()
+    found = {}
+    for r in rows:
+        found.setdefault((r.doc_id, r.item_id), []).append((r.start, r.end))
+    assert {k: len(v) for k, v in found.items()} == {(0, 1): 2, (1, 1): 6, (2, 1): 4, (3, 1): 2, (3, 2): 1, (4, 2): 1}
+    for spans in found.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_stretches_against_brute_force():
+    for _ in range(200):
+        item = np.array([rng.randrange(1, 9) for _ in range(rng.randrange(5, 12))], np.uint64)
+        text = np.concatenate([np.array(edited([int(w) for w in item], rng.randrange(3)) if rng.random() < 0.5 else [rng.randrange(1, 9) for _ in range(6)], object) for _ in range(5)])
+        text = np.array([hash(w) % 1000003 for w in text], np.uint64)
+        most = len(item) // 5
+        got = list(D.stretches(item, text, most))
+        assert bool(got) == (slow(item.tolist(), text.tolist()) <= most)
+        done = 0
+        for edits, start, end in got:
+            assert done <= start < end and edits <= most and slow(item.tolist(), text[start:end].tolist()) == edits
+            assert slow(item.tolist(), text[done:start].tolist()) > most
+            done = end
+        assert slow(item.tolist(), text[done:].tolist()) > most
+
+
+def test_short_items_are_found_verbatim(spark):
+    docs = [(1, "so The answer, is forty two."), (2, "the answer is forty one"), (3, "no no no no no no no"), (4, "two"), (5, None)]
+    items = [(1, "answer is forty two"), (2, "No no no"), (3, "answer is"), (4, "the answer is"), (5, "the answer is")]
+    rows = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted((r.doc_id, r.item_id, dict(docs)[r.doc_id][r.start : r.end], r.edits, r.item_words) for r in rows)
+    assert got == [(1, 1, "answer, is forty two", 0, 4), (1, 4, "The answer, is", 0, 3), (1, 5, "The answer, is", 0, 3), (2, 4, "the answer is", 0, 3), (2, 5, "the answer is", 0, 3), (3, 2, "no no no", 0, 3), (3, 2, "no no no", 0, 3)]
+
+
 def test_windows_keep_every_match():
     item = passage(40)
     block = D.Block([1], pa.array([" ".join(item)]), 0.8, 0.97)

@@ -11,12 +11,19 @@ An item of n words matches where at most k = (1 - similarity) * n word edits tur
 the document. Such a stretch keeps at least n - 1 - 2k of the item's word pairs; windows that have fewer
 pairs of any item of their size cannot match and are left out before they are embedded.
 
+Items of EXACT_WORDS words or more but fewer than MIN_WORDS allow no edit; they are found by the hash of
+all runs of as many words, compared word by word.
+
+All occurrences of an item that do not overlap are reported, from left to right: of stretches that
+overlap, the one with the fewest edits near the first of them.
+
 The benchmark is the query set: it is taken in blocks of at most ITEM_BLOCK items, each sent to all
 tasks, against all rows. Documents are read once for each block and never shuffled.
 
 Defined results: words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; null and
-empty texts have no words; items of fewer than MIN_WORDS words are no evidence and match nothing;
-repeated documents and repeated items are reported each; a null doc_id or item_id is reported as null;
+empty texts have no words; items of fewer than EXACT_WORDS words are no evidence and match nothing;
+items longer than a document match it only if few enough words are missing; very long texts are read whole;
+of equally good stretches the first counts; repeated documents and repeated items are reported each; a null doc_id or item_id is reported as null;
 other columns are ignored.
 """
 
@@ -33,7 +40,9 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.common import CHUNK_BYTES, Words, mix64, text_chunks
 
-SIMILARITY, RECALL, MIN_WORDS = 0.8, 0.97, 5
+SIMILARITY, RECALL = 0.8, 0.97
+#: Items of fewer words are found verbatim only, and those of fewer than EXACT_WORDS not at all.
+MIN_WORDS, EXACT_WORDS = 5, 3
 ITEM_BLOCK = 4096
 #: Steps of the embedding that make one signature; items of one size class differ in length by this factor.
 SAMPLED, CLASS_RATIO = 3, 1.25
@@ -134,6 +143,14 @@ class Block:
         first = words.first()
         items = [(name, words.hash[first[i] : first[i + 1]]) for i, name in enumerate(item_ids) if first[i + 1] - first[i] >= MIN_WORDS]
         items.sort(key=lambda x: len(x[1]))
+        #: By number of words: hashes, in order, of the items that are found verbatim, and the items.
+        self.short: dict[int, tuple[np.ndarray, list[tuple[int | None, np.ndarray]]]] = {}
+        for n in range(EXACT_WORDS, MIN_WORDS):
+            h, at = words.rolling(n)
+            whole = np.flatnonzero(np.diff(first)[words.row[at]] == n)
+            if len(whole):
+                whole = whole[np.argsort(h[whole], kind="stable")]
+                self.short[n] = h[whole], [(item_ids[words.row[i]], words.hash[i : i + n]) for i in at[whole].tolist()]
         self.classes: list[SizeClass] = []
         while items:
             n = sum(len(w) <= CLASS_RATIO * len(items[0][1]) for _, w in items)
@@ -174,27 +191,60 @@ def window_starts(known: np.ndarray, row_of: np.ndarray, first: np.ndarray, c: S
     return starts[starts % c.stride == 0]
 
 
+def _edits_to(a: np.ndarray, b: np.ndarray, free: bool) -> np.ndarray:
+    """Word edits from a to the stretches of b that end at each of its words; they begin anywhere if `free`, else with b."""
+    steps = np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, np.int64) if free else steps.copy()
+    for i, word in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != word))
+        row = np.minimum.accumulate(new - steps) + steps
+    return row
+
+
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the stretch of text with the fewest word edits from the item; the first one of several."""
 
-    def last_row(a: np.ndarray, b: np.ndarray, free: bool) -> np.ndarray:
-        steps = np.arange(len(b) + 1)
-        row = np.zeros(len(b) + 1, np.int64) if free else steps.copy()
-        for i, word in enumerate(a, 1):
-            new = np.empty_like(row)
-            new[0] = i
-            new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != word))
-            row = np.minimum.accumulate(new - steps) + steps
-        return row
-
-    ends = last_row(item, text, True)
+    ends = _edits_to(item, text, True)
     end = int(ends.argmin())
-    back = last_row(item[::-1], text[:end][::-1], False)
+    back = _edits_to(item[::-1], text[:end][::-1], False)
     return int(ends[end]), end - int(back.argmin()), end
 
 
+def stretches(item: np.ndarray, text: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(edits, start, end) of stretches of text that do not overlap, each at most `most` word edits from the item."""
+    near = np.flatnonzero(_edits_to(item, text, True) <= most)  # where such stretches end
+    at = done = 0
+    while at < len(near):
+        # Ends of one occurrence lie within 2 * most words.
+        low = max(done, int(near[at]) - len(item) - most)
+        edits, start, end = best_stretch(item, text[low : int(near[at]) + 2 * most])
+        if edits <= most and end:
+            yield edits, low + start, low + end
+            done = low + end
+            at = int(np.searchsorted(near, done, side="right"))
+        else:
+            at = int(np.searchsorted(near, near[at] + 2 * most, side="right"))
+
+
+def verbatim(block: Block, words: Words) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+    """The matches of items too short for edits."""
+    for n, (marks, items) in block.short.items():
+        h, at = words.rolling(n)
+        low, high = np.searchsorted(marks, h, "left"), np.searchsorted(marks, h, "right")
+        done: dict[tuple[int, int], int] = {}
+        for i in np.flatnonzero(high > low).tolist():
+            start, row = int(at[i]), int(words.row[at[i]])
+            for item in range(int(low[i]), int(high[i])):
+                if start >= done.get((row, item), 0) and (words.hash[start : start + n] == items[item][1]).all():
+                    done[row, item] = start + n
+                    yield row, items[item][0], start, start + n, 0, n
+
+
 def matches(block: Block, words: Words) -> Iterator[tuple[int, int | None, int, int, int, int]]:
     """(row, item_id, first word, end word, edits, the item's words)."""
+    yield from verbatim(block, words)
     first = words.first()
     known = block.known_pairs(words)
     for c in block.classes:
@@ -215,14 +265,13 @@ def matches(block: Block, words: Words) -> Iterator[tuple[int, int | None, int,
             room = int(c.edits[item]) + c.stride
             where.sort()
             at = 0
-            while at < len(where):  # neighbouring windows are one region
+            while at < len(where):  # windows whose surroundings meet are one region
                 to = at + 1
-                while to < len(where) and where[to] - where[to - 1] <= len(wanted):
+                while to < len(where) and where[to] - where[to - 1] <= 2 * (len(wanted) + room):
                     to += 1
                 low = max(int(first[row]), where[at] - room - len(wanted) // 2)
                 high = min(int(first[row + 1]), where[to - 1] + len(wanted) + room)
-                edits, start, end = best_stretch(wanted, words.hash[low:high])
-                if edits <= c.edits[item]:
+                for edits, start, end in stretches(wanted, words.hash[low:high], int(c.edits[item])):
                     yield row, name, low + start, low + end, edits, len(wanted)
                 at = to
 
