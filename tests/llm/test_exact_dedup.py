@@ -48,6 +48,14 @@ def test_flushes_and_spills_change_nothing(spark, monkeypatch):
     check(spark, documents(), 2)
 
 
+def test_a_hot_content_takes_one_entry(spark, monkeypatch):
+    docs = [(i, "hot") for i in range(3000, 0, -1)] + [(i, f"text {i % 50}") for i in range(3001, 3200)]
+    monkeypatch.setattr(E, "SEND_BYTES", 300)
+    check(spark, docs, 4)
+    kept = list(E.grace(((1, b"hot", (i, 1)) for i in range(5, 900)), 10**6, one=lambda x: x, fold=lambda a, b: (min(a[0], b[0]), a[1] + b[1])))
+    assert kept == [(5, 895)]
+
+
 def test_grace_recursion_and_equal_hashes():
     rng = random.Random(3)
     records = [(rng.randrange(8) << 61 | rng.randrange(4), bytes([rng.randrange(5)]) * 10, i) for i in range(400)]

@@ -4,8 +4,10 @@ Every task first merges its own equal records in a bounded open-addressing table
 a third of all rows share leaves each task once. One shuffle deals the representatives, with their whole
 contents, by hash. A receiving task takes them into an open-addressing table; what exceeds the task's
 memory is partitioned by further hash bits into spill files, and each file is treated likewise. Two
-records are equal only if their complete contents are. What stays is told to the members by a join on
-the sender's key, which holds one task's rows at most.
+records are equal only if their complete contents are; of equal ones a table holds one record, the
+smallest id and a count, however many there are. What stays is told to the senders' keys by a join of
+small rows on the content's hash, and from there to the members by a join on the sender's key, which holds
+one task's rows at most.
 
 Content: the text with each run of [\x20\x09-\x0D] replaced by one space; null counts as empty.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +98,15 @@ class ContentTable:
             self.slots[at] = entry
 
 
-def grace(records: Iterator[tuple[int, bytes, tuple]], most: int, level: int = 0) -> Iterator[list[tuple]]:
-    """Lists of the payloads of equal contents, from (hash, content, payload) in any order.
+def both(a: list, b: list) -> list:
+    a += b
+    return a
+
+
+def grace(records: Iterator[tuple[int, bytes, tuple]], most: int, level: int = 0, one: Callable = lambda x: [x], fold: Callable = both) -> Iterator:
+    """What `fold` makes of the payloads of equal contents (`one` of each), from (hash, content, payload) in any order.
+
+    By default these are lists of the payloads; where contents are hot, `fold` gives something of bounded size.
 
     Once a table is full, contents that it knows still join it and all others are spilled by the next
     three bits of their hash; each spill file then goes through a table of its own. At the last bits the
@@ -107,20 +116,23 @@ def grace(records: Iterator[tuple[int, bytes, tuple]], most: int, level: int = 0
     for h, content, payload in records:
         if spills is None and (table.bytes < most or level > 18):
             entry, new = table.find_or_add(h, content)
-            groups.append([payload]) if new else groups[entry].append(payload)
+            if new:
+                groups.append(one(payload))
+            else:
+                groups[entry] = fold(groups[entry], one(payload))
             continue
         if spills is None:
             spills = [tempfile.TemporaryFile() for _ in range(FAN_OUT)]
         entry, _ = table.find(h, content)
         if entry >= 0:
-            groups[entry].append(payload)
+            groups[entry] = fold(groups[entry], one(payload))
         else:
             pickle.dump((h, content, payload), spills[(h >> (61 - 3 * level)) % FAN_OUT], protocol=5)
     yield from groups
     del table, groups
     for file in spills or ():
         file.seek(0)
-        yield from grace(unpickled(file), most, level + 1)
+        yield from grace(unpickled(file), most, level + 1, one, fold)
         file.close()
 
 
@@ -132,8 +144,6 @@ def unpickled(file) -> Iterator[tuple]:
             return
 
 
-
-
 def _order(doc_id: int | None) -> tuple[bool, int]:
     return doc_id is None, doc_id or 0
 
@@ -191,17 +201,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of (task, mark, rows, record) of equal contents."""
+def _kept(batches: Iterator[pa.RecordBatch], wanted: Callable[[dict], tuple]) -> Iterator[tuple]:
+    """(order, what is wanted of the record that stays, records in all) of each content."""
 
     def records() -> Iterator[tuple[int, bytes, tuple]]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 for x in batch.slice(i, 1000).to_pylist():
                     content = normalised(x["record"]["text"])
-                    yield content_hash(content), content, (x["task"], x["mark"], x["rows"], x["record"])
+                    yield content_hash(content), content, ((_order(x["record"]["doc_id"]), x["task"], x["mark"]), wanted(x), x["rows"])
+
+    def smaller(a: tuple, b: tuple) -> tuple:
+        return (*min(a, b, key=lambda z: z[0])[:2], a[2] + b[2])
 
-    return grace(records(), TABLE_BYTES)
+    return grace(records(), TABLE_BYTES, one=lambda x: x, fold=smaller)
 
 
 def _survivors(record: pa.StructType):
@@ -209,8 +222,8 @@ def _survivors(record: pa.StructType):
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in _groups(batches):
-            held.append(min((x[3] for x in group), key=lambda r: _order(r["doc_id"])))
+        for _, record, _ in _kept(batches, lambda x: x["record"]):
+            held.append(record)
             size += 200 + len(held[-1]["text"] or "")
             if size > 4 << 20:
                 yield pa.RecordBatch.from_pylist(held, schema=schema)
@@ -221,33 +234,33 @@ def _survivors(record: pa.StructType):
     return receive
 
 
-DECISION = pa.schema([("task", pa.int32()), ("mark", pa.binary()), ("keep_id", pa.int64()), ("keeper", pa.bool_()), ("group_size", pa.int64()), ("members", pa.list_(pa.int64()))])
+#: Of a content: its hash and which sender's mark stays (members null); of doc_ids: their sender's key and their number.
+DECISION = pa.schema([("task", pa.int32()), ("mark", pa.binary()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("at", pa.int64()), ("group_size", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What becomes of each sender's content; the rows of doc_ids go on as they are."""
-    contents: list[pa.RecordBatch] = []
+    """What becomes of each content; the rows of doc_ids go on as they are."""
+    told: list[pa.RecordBatch] = []
 
     def sorted_out() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = batch.filter(batch.column("record").is_null())
-            if told.num_rows:
-                contents.append(pa.RecordBatch.from_arrays([told.column("task"), told.column("mark"), pa.nulls(told.num_rows, pa.int64()), pc.equal(told.column("rows"), 0), pa.nulls(told.num_rows, pa.int64()), told.column("members")], schema=DECISION))
+            ids = batch.filter(batch.column("record").is_null())
+            if ids.num_rows:
+                marks, none = ids.column("mark"), pa.nulls(ids.num_rows, pa.int64())
+                told.append(pa.RecordBatch.from_arrays([ids.column("task"), marks, pc.binary_slice(marks, 0, 32), none, ids.column("rows"), none, ids.column("members")], schema=DECISION))
             yield batch.filter(batch.column("record").is_valid())
 
     held: list[tuple] = []
-    for group in _groups(sorted_out()):
-        keep = min(range(len(group)), key=lambda i: (_order(group[i][3]["doc_id"]), group[i][0], group[i][1]))
-        total = sum(x[2] for x in group)
-        held += [(x[0], x[1], group[keep][3]["doc_id"], i == keep, total, None) for i, x in enumerate(group)]
+    for (_, task, mark), keep_id, total in _kept(sorted_out(), lambda x: x["record"]["doc_id"]):
+        held.append((task, mark, mark[:32], keep_id, None, total, None))
         if len(held) > 8192:
             yield _batch(held, DECISION)
             held = []
-        while contents:
-            yield contents.pop()
+        while told:
+            yield told.pop()
     if held:
         yield _batch(held, DECISION)
-    yield from contents
+    yield from told
 
 
 def _dealt(docs: DataFrame, tell: bool) -> tuple[DataFrame, pa.StructType]:
@@ -266,10 +279,13 @@ def survivors(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of docs."""
     dealt, _ = _dealt(docs.select("doc_id", "text"), tell=True)
-    rows = cut(dealt.mapInArrow(_decide, "task int, mark binary, keep_id long, keeper boolean, group_size long, members array<long>"))
-    decided = rows.where("members is null").drop("members")
+    rows = cut(dealt.mapInArrow(_decide, "task int, mark binary, sha binary, keep_id long, at long, group_size long, members array<long>"))
+    decided = rows.where("members is null").select("sha", F.struct("task", "mark").alias("keeper"), "keep_id", "group_size")
+    told = rows.where("members is not null")
+    # One small row for each content of a sender meets the decision; a hot content has one for each time a sender handed on.
+    senders = told.where("at = 0").select("task", "mark", "sha").join(decided, "sha").select("task", "mark", "keep_id", "group_size", (F.struct("task", "mark") == F.col("keeper")).alias("keeper"))
     # A sender tells of its smallest doc_id first: if its content stays, that row does, and no repetition of it.
-    members = rows.where("members is not null").select("task", "mark", F.col("keeper").alias("first"), F.posexplode("members").alias("i", "doc_id"))
+    members = told.select("task", "mark", (F.col("at") == 0).alias("first"), F.posexplode("members").alias("i", "doc_id"))
     members = members.select("task", "mark", "doc_id", (F.col("first") & (F.col("i") == 0)).alias("keeps"))
     kept = F.col("keeper") & F.col("keeps")
-    return members.join(decided, ["task", "mark"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex(F.substring("mark", 1, 32))).alias("text_sha256"))
+    return members.join(senders, ["task", "mark"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex(F.substring("mark", 1, 32))).alias("text_sha256"))
