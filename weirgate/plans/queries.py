@@ -14,6 +14,7 @@ from weirgate.operators import log_analytics as A
 from weirgate.plans.log_sql import over_logs, over_rollup
 from weirgate.sources import rules as R
 from weirgate.sources.exports import csv_ready
+from weirgate.sources.rule_store import audit_message, seed_difference
 from weirgate.sources.tables import read, threat_logs
 from weirgate.streaming.rollup import stream_rollup
 
@@ -435,3 +436,120 @@ def risk_tenths(spark, sf_dir):
 def traffic_by_hour(spark, sf_dir):
     weight = N.traffic_weight(F.col("created_at")) / F.element_at(F.array(*map(F.lit, N.HOUR_WEIGHT)), F.hour("created_at") + 1)
     return logs(spark, sf_dir).groupBy(F.hour("created_at").alias("hour")).agg(F.round(F.sum(weight), 6).alias("weighted_days"))
+
+
+#: Bodies by doc_id modulo 6: valid, not JSON, not an object, without messages, a stream, and content as a list of parts.
+_BODY_ERROR = "[null, 'invalid_json', 'invalid_request', 'invalid_request', 'streaming_not_supported', null][doc_id % 6 + 1]"
+
+
+def _bodies(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    turns = F.array(message("system", F.lit("be kind")), message("user", F.lit("first")), message("assistant", F.lit("yes")), message("user", text), message("system", F.lit("")), message("system", F.lit("be brief")))
+    parts = F.array(message("user", F.array(part("text", text), part("image_url", F.lit(None).cast("string")), part("text", F.lit("and more")))))
+    valid = F.to_json(F.struct(F.lit("m").alias("model"), turns.alias("messages")))
+    body = F.element_at(F.array(
+        valid, F.concat(F.lit("{"), text), F.lit("[1]"), F.lit('{"model":"m","messages":[]}'),
+        F.to_json(F.struct(F.lit(True).alias("stream"), turns.alias("messages"))), F.to_json(F.struct(parts.alias("messages"))),
+    ), (F.col("doc_id") % 6 + 1).cast("int"))
+    return extraction.parse_requests(read(spark, sf_dir, "documents").select("doc_id", body.alias("body")))
+
+
+@query(f"select doc_id, {_BODY_ERROR} error, case when {_BODY_ERROR} is null then 200 else 400 end status_code from documents")
+def request_errors(spark, sf_dir):
+    none, error = F.lit(None).cast("string"), extraction.request_error(F.col("body"), F.col("request"))
+    answer = decision_log.outcome(error, none, F.lit(False), F.lit("NONE"), none, F.lit(None).cast("int"), F.lit(False), F.lit("PASSED"))
+    return _bodies(spark, sf_dir).select("doc_id", error.alias("error"), answer["status_code"].alias("status_code"))
+
+
+@query("""select doc_id, coalesce(text, '') || case when doc_id % 6 = 5 then chr(10) || 'and more' else '' end prompt, case when doc_id % 6 = 0 then 'be kind' || chr(10) || 'be brief' else '' end system_text
+    from documents where doc_id % 6 in (0, 5)""")
+def request_prompts(spark, sf_dir):
+    valid = _bodies(spark, sf_dir).where(extraction.request_error(F.col("body"), F.col("request")).isNull())
+    return valid.select("doc_id", extraction.prompt_of(F.col("request.messages")).alias("prompt"), extraction.system_of(F.col("request.messages")).alias("system_text"))
+
+
+@query("select doc_id, 'clean' prompt, 'be kind' || chr(10) || 'be brief' system_text, 6::int turns from documents where doc_id % 6 = 0 union all select doc_id, 'clean', '', 1 from documents where doc_id % 6 = 5")
+def sanitised_requests(spark, sf_dir):
+    valid = _bodies(spark, sf_dir).where(extraction.request_error(F.col("body"), F.col("request")).isNull())
+    new = valid.select("doc_id", extraction.with_sanitised_prompt(F.col("request.messages"), F.lit("clean")).alias("messages"))
+    return new.select("doc_id", extraction.prompt_of(F.col("messages")).alias("prompt"), extraction.system_of(F.col("messages")).alias("system_text"), F.size("messages").alias("turns"))
+
+
+@query("""select doc_id, ['ALLOW', 'BLOCK', null, 'REDACT', 'BLOCK', null][doc_id % 6 + 1] decision, case when doc_id % 6 = 3 then 'kept ' || doc_id end sanitized_prompt from documents""")
+def judge_verdicts(spark, sf_dir):
+    reply = F.element_at(F.array(
+        F.lit('Well {so}: {"decision": "allow", "rationale": "fine"} that is all'), F.lit('{"decision": "BLOCK"} again {"decision": "block"}'), F.lit('{"decision": "ALLOW"} or {"decision": "BLOCK"}'),
+        F.concat(F.lit('```{"decision": "REDACT", "sanitized_prompt": "kept '), F.col("doc_id").cast("string"), F.lit('"}```')), F.lit('{"decision": "REDACT", "sanitized_prompt": " "}'), F.lit("I allow it"),
+    ), (F.col("doc_id") % 6 + 1).cast("int"))
+    told = read(spark, sf_dir, "documents").select("doc_id", cascade.parsed_verdict(reply).alias("v"))
+    return told.select("doc_id", "v.decision", "v.sanitized_prompt")
+
+
+@query("""select doc_id, '[REDACTED:PII_LEAK]' || substring(coalesce(text, ''), (least(4, length(coalesce(text, ''))) + 1)::int) first_text, coalesce(text, '') second_text
+    from documents where length(coalesce(text, '')) > 0""")
+def redacted_choices(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    choice = lambda i: F.struct(F.lit(i).alias("index"), F.struct(F.lit("assistant").alias("role"), text.alias("content")).alias("message"))
+    span = F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("PII_LEAK").alias("category")))
+    out = read(spark, sf_dir, "documents").where(F.length(text) > 0).select("doc_id", output_scan.redact_choices(F.array(choice(0), choice(1)), F.create_map(F.lit(0), span, F.lit(7), span)).alias("c"))
+    return out.select("doc_id", extraction.completion_text(F.col("c"), 0).alias("first_text"), extraction.completion_text(F.col("c"), 1).alias("second_text"))
+
+
+@query(over_logs("""
+    , s as (select request_id, action_taken, triggered_layer, is_blocked, ['PASS', 'WARN', 'REDACT', 'BLOCK'][substring(request_id, 5)::bigint % 4 + 1] scan from logs)
+    select request_id, case when scan = 'BLOCK' then 'BLOCKED' when scan = 'REDACT' then 'REDACTED' else action_taken end action_taken,
+        case when scan in ('BLOCK', 'REDACT') then 'OUTPUT_SCANNER' else triggered_layer end triggered_layer, is_blocked or scan = 'BLOCK' is_blocked from s where action_taken <> 'BLOCKED'"""))
+def final_rows(spark, sf_dir):
+    scan = F.element_at(F.array(*map(F.lit, ("PASS", "WARN", "REDACT", "BLOCK"))), (F.substring("request_id", 5, 20).cast("long") % 4 + 1).cast("int"))
+    answered = logs(spark, sf_dir).where("action_taken <> 'BLOCKED'").select("request_id", "action_taken", "triggered_layer", "is_blocked", scan.alias("scan_action"))
+    return output_scan.final_row(answered).drop("scan_action")
+
+
+@query("""select doc_id, doc_id % 3 = 0 as secret, case doc_id % 3 when 0 then 'PII_LEAK:1,SECRET_LEAK:2' when 1 then 'PII_LEAK:2' else '' end categories from documents""")
+def span_categories(spark, sf_dir):
+    span = lambda at, c: F.struct(F.lit(at).alias("start"), F.lit(at + 2).alias("end"), F.lit(c).alias("category"))
+    spans = F.when(F.col("doc_id") % 3 == 0, F.array(span(0, "SECRET_LEAK"), span(4, "PII_LEAK"), span(9, "SECRET_LEAK"))).when(F.col("doc_id") % 3 == 1, F.array(span(0, "PII_LEAK"), span(4, "PII_LEAK"))).otherwise(T.no_spans())
+    counted = F.array_join(F.transform(output_scan.categories_of(F.col("spans")), lambda c: F.concat_ws(":", c["category"], c["n"].cast("string"))), ",")
+    return read(spark, sf_dir, "documents").select("doc_id", spans.alias("spans")).select("doc_id", output_scan.has_secret(F.col("spans")).alias("secret"), counted.alias("categories"))
+
+
+@query(f"with {_rules_sql()} select rule_id, severity from rules where category = 'PII'")
+def rule_listing(spark, sf_dir):
+    return R.list_rules(R.rules_frame(spark, R.seed_rules()), category="PII", active=True).select("rule_id", "severity")
+
+
+@query(f"""with {_rules_sql()} select case when severity = 'CRITICAL' then 'inserted' when severity = 'HIGH' then 'updated' else 'unchanged' end state, count(*) n from rules group by 1""")
+def seed_states(spark, sf_dir):
+    wanted = R.rules_frame(spark, R.seed_rules())
+    have = wanted.where("severity <> 'CRITICAL'").withColumn("is_active", F.col("severity") != "HIGH")
+    return seed_difference(have, wanted).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, ['Created rule R' || doc_id, 'Updated rule R' || doc_id, 'Deleted rule R' || doc_id, 'Firewall switched on', 'Firewall switched off', 'Changed settings'][doc_id % 6 + 1] message from documents""")
+def audit_messages(spark, sf_dir):
+    one_of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % 6 + 1).cast("int"))
+    action = one_of("RULE_CREATED", "RULE_UPDATED", "RULE_DELETED", *["THRESHOLD_CHANGED"] * 3)
+    details = one_of("{}", "{}", "{}", '{"before":{"firewall_enabled":false},"after":{"firewall_enabled":true}}', '{"firewall_enabled":false}', '{"after":{"high":0.9}}')
+    return read(spark, sf_dir, "documents").select("doc_id", audit_message(action, F.concat(F.lit("R"), F.col("doc_id").cast("string")), details).alias("message"))
+
+
+@query(over_logs("""select request_id, format('{:,.1f}%', 100 * risk_score) rate, case when execution_time_ms >= 1000 then format('{:,.2f} s', execution_time_ms / 1000) else format('{:,.1f} ms', execution_time_ms) end latency,
+    execution_time_ms * 1.8::double p95 from logs"""))
+def display_values(spark, sf_dir):
+    p95 = N.with_both_latencies(F.col("execution_time_ms"), F.lit(None).cast("double"))[1]
+    return logs(spark, sf_dir).select("request_id", N.rate(F.col("risk_score")).alias("rate"), N.latency(F.col("execution_time_ms")).alias("latency"), p95.alias("p95"))
+
+
+@query("""with w as (select doc_id, string_split(text, ' ') w from documents where text is not null)
+    select doc_id, array_to_string(case when len(w) <= 9 then w else list_concat(w[1:4], w[len(w) - 4:]) end, ' ') shortened from w""")
+def head_and_tail(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(T.head_and_tail(F.split("text", " "), 9), " ").alias("shortened"))
+
+
+@query("""with x as (select doc_id, (n_chars % 7)::double a, (doc_id % 5)::double b from documents)
+    select doc_id, round(exp(a) / (exp(a) + exp(b) + exp(1::double)), 9) first, round(1 / (1 + exp(-b)), 9) sigmoid from x""")
+def class_probabilities(spark, sf_dir):
+    a, b = (F.col("n_chars") % 7).cast("double"), (F.col("doc_id") % 5).cast("double")
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(T.softmax(F.array(a, b, F.lit(1.0)))[0], 9).alias("first"), F.round(T.sigmoid(b), 9).alias("sigmoid"))
