@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; its arrays take about 40 times as much.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one numpy step works on; its arrays take about 40 times as much. Larger steps are no faster.
+CHUNK_BYTES = 512 << 10
 #: White space of the operators' contracts: [\x20\x09-\x0D].
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -40,17 +41,21 @@ def small_side(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of batches whose `column` holds about `most` bytes; a longer text gets a slice of its own."""
+    """Slices of batches whose `column` holds about `most` bytes; a longer text gets a slice of its own.
+
+    Workers live on from task to task, so memory that a batch took is handed back after it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, ends = text_bytes(batch.column(column))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -47,6 +47,8 @@ ITEM_BLOCK = 4096
 #: Steps of the embedding that make one signature; items of one size class differ in length by this factor.
 SAMPLED, CLASS_RATIO = 3, 1.25
 PAIR_BITS = 22
+#: Windows that are embedded together, each of up to an item's words.
+WINDOWS = 1 << 12
 SEED = 20240229
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int, item_words int, similarity double"
 
@@ -251,8 +253,8 @@ def matches(block: Block, words: Words) -> Iterator[tuple[int, int | None, int,
         starts = window_starts(known, words.row, first, c)
         meets: dict[tuple[int, int], list[int]] = {}
         width = c.most
-        for i in range(0, len(starts), 1 << 14):
-            part = starts[i : i + (1 << 14)]
+        for i in range(0, len(starts), WINDOWS):
+            part = starts[i : i + (WINDOWS)]
             at = part[:, None] + np.arange(width + 1)
             inside = at < first[words.row[part] + 1][:, None]
             inside[:, -1] = False
