@@ -34,18 +34,27 @@ def encoder():
 def test_tiles_give_the_ids_of_whole_texts(encoder):
     """Brute force: random texts of letters, marks, digits and every kind of white space, encoded whole."""
     r = random.Random(5)
-    letters = ["a", "the", "don't", "'s", "É", "日本語", "12", "!", "''", "\x1c", "​", "<|endoftext|>", "😀"]
+    letters = ["a", "the", "Größe", ",", ".\"", "-", "x,y", "ß_", "×", "%%%", "'ll", "l'été", "don't", "'s", "É", "日本語", "12", "!", "''", "\x1c", "​", "<|endoftext|>", "😀"]
     spaces = [" ", " ", " ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "\r\n", "\xa0", "　", "   ", "\x85"]
     for _ in range(1500):
         text = "".join(r.choice(letters + spaces) for _ in range(r.randint(0, 25)))
-        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == whole(text), repr(text)
+        assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole(text), repr(text)
+
+
+def test_what_is_remembered_changes_no_id(encoder, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 20)
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(f"w{r.randint(0, 60)}," for _ in range(12)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
+    assert len(encoder.known) <= 20 + 36
 
 
 def test_long_texts_are_cut_where_the_tokenizer_divides(encoder, monkeypatch):
     monkeypatch.setattr(T, "STEP", 100)
     r = random.Random(6)
     text = "".join(r.choice(["word", " ", "  ", "\n", " x", "\n\n", "ab" * 80]) for _ in range(4000))
-    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == whole(text)
+    assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole(text)
 
 
 def test_query_against_brute_force(spark):

@@ -20,10 +20,13 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
 import mmap
 import os
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,12 +43,14 @@ MAGIC = b"WGTOKEN1"
 #: Bytes of text, and ids, that one step works on.
 STEP, READ_IDS = 1 << 20, 1 << 20
 #: Pieces that a task remembers with their ids, and the length up to which it does.
-REMEMBERED, PIECE = 200_000, 64
+REMEMBERED, PIECE = 500_000, 64
 #: White space of Unicode, at which pre-tokenisers of this kind divide.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Tiles of a text that a byte-level pre-tokeniser never joins: a word with the space before it, one white space
-#: character before a word, white space up to the space of a word, and any other white space with what follows.
-TILES = re.compile(f" ?[^{SPACE}]+|[{SPACE}](?=[^{SPACE}])|[{SPACE}]+(?= [^{SPACE}])|[{SPACE}]+[^{SPACE}]*")
+#: Tiles of a text that a byte-level pre-tokeniser never joins: Latin letters with the space before them, up to
+#: white space or a mark that is no apostrophe; a run without white space and the space before it; one white space character before
+#: a word; white space up to the space of a word; and any other white space with what follows.
+LATIN, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
+TILES = re.compile(f" ?[{LATIN}]++(?=[{MARKS}{SPACE}])| ?[^{SPACE}]++|[{SPACE}](?=[^{SPACE}])|[{SPACE}]+(?= [^{SPACE}])|[{SPACE}]+[^{SPACE}]*")
 WORD = re.compile(f" (?=[^{SPACE}])")
 
 
@@ -62,41 +67,88 @@ class Encoder:
         first = said.get("pre_tokenizer") or {}
         #: Whether texts may be tiled: byte-level division by words, and nothing that looks beyond a tile.
         self.tiled = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True) and not said.get("normalizer")
-        self.dtype, self.known = np.dtype(dtype), {}
+        self.dtype = np.dtype(dtype)
+        #: Bytes of each id: a byte-level vocabulary has a character for each byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        #: Ids of tiles, and the tiles met again since the last time that they were too many.
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _tiles(self, text: str) -> bytes:
-        known, tiles = self.known, TILES.findall(text)
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [t for t in set(tiles) if t not in known]
-        known.update(zip(new, self._ids(new), strict=True))
-        out = b"".join(map(known.__getitem__, tiles))
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        packed = [array(kind, x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in packed:
+                x.byteswap()
+        return [x.tobytes() for x in packed]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Of words that begin with a space and are letters else: encoded as one text, which the tokenizer divides at these spaces."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in words]), side="left") + 1
+        packed, size = ids.tobytes(), self.dtype.itemsize
+        bounds = [0, *(ends * size).tolist()]
+        return [packed[a:b] for a, b in itertools.pairwise(bounds)]
+
+    def _steps(self, text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            cut = WORD.search(text, at + STEP) if len(text) - at > STEP else None
+            to = cut.start() if cut else len(text)
+            yield text[at:to]
+            at = to
+
+    def _tiled(self, texts: list[str]) -> list[bytes]:
+        tiles = [TILES.findall(t) for t in texts]
+        there = set().union(*tiles)
+        new = [t for t in there if t not in self.known]
+        self.again |= there.difference(new)
+        words = [t for t in new if t[0] == " " and t[1:].isalpha()]
+        self.known.update(zip(words, self._ids_of_words(words), strict=True))
+        other = [t for t in new if t not in self.known]
+        self.known.update(zip(other, self._ids(other), strict=True))
+        out = [b"".join(map(self.known.__getitem__, t)) for t in tiles]
         for t in new:
             if len(t) > PIECE:
-                del known[t]
+                del self.known[t]
+        if len(self.known) > REMEMBERED:  # what came only once goes
+            self.known = {t: self.known[t] for t in self.again if t in self.known}
+            self.again = set()
+            if len(self.known) > REMEMBERED // 2:
+                self.known = {}
         return out
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed."""
         if not self.tiled:
-            return self._ids([text])[0]
-        out, at = [], 0
-        while at < len(text):
-            cut = WORD.search(text, at + STEP) if len(text) - at > STEP else None
-            to = cut.start() if cut else len(text)
-            out.append(self._tiles(text[at:to]))
-            at = to
-        return b"".join(out)
+            return self._ids(texts)
+        if sum(map(len, texts)) <= STEP:
+            return self._tiled(texts)
+        return [b"".join(self._tiled([step])[0] for step in self._steps(t)) for t in texts]
+
+
+def _encoder(tokenizer: str, dtype: str) -> Encoder:
+    """The worker's encoder. Functions come to workers by value, so it is kept where the next task of the process finds it."""
+    kept = sys.__dict__.setdefault("_weirgate_encoders", {})
+    key = (hashlib.sha256(tokenizer.encode()).digest(), dtype)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(tokenizer, dtype)
+    return kept[key]
 
 
 def _packed(tokenizer, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer.value, dtype)
+        encoder = _encoder(tokenizer.value, dtype)
         end = np.array([end_id], dtype).tobytes()
         for part in text_chunks(batches, "text"):
-            ids = [encoder.encode(t) + end if t else end for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            ids = [x + end for x in encoder.encode([t or "" for t in texts])]
             columns = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "range", "tie")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=["doc_id", "range", "tie", "ids"])
 
