@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgate.functions.text import normalise_for_rules, once
-from weirgate.sources.rules import Rule, active_layer_1, folded, matches
+from weirgate.functions.matching import first_match
+from weirgate.functions.text import once
+from weirgate.sources.rules import Rule, active_layer_1
 
 LOG = logging.getLogger(__name__)
 
@@ -120,24 +121,12 @@ class ConfigFile:
         return self._config
 
 
-def first_match(rules: list[Rule], text: Column, lower: Column | None = None) -> Column:
-    """The first matching rule, by rule_id, as a struct; null without one. Rules after the match are not evaluated."""
-    found = F.lit(None).cast("struct<rule_id:string,category:string,severity:string>")
-    for rule in reversed(active_layer_1(rules)):
-        if rule.rule_type == "EXCLUSION":
-            continue
-        as_struct = F.struct(*(F.lit(getattr(rule, c)).alias(c) for c in ("rule_id", "category", "severity")))
-        found = F.when(matches(rule, text, lower), as_struct).otherwise(found)
-    return found
-
-
 def evaluate_rules(rows: DataFrame, rules: list[Rule], prompt: str = "prompt", system: str | None = None) -> DataFrame:
-    """rows with a struct column `layer_1`. The normalised text, its lower case and the match are each made once a row."""
+    """rows with a struct column `layer_1`: the first matching rule, by rule_id, of the normalised prompt (and system text); null without one."""
     text = F.coalesce(F.col(prompt), F.lit(""))
     if system:
         text = F.concat(text, F.lit(" "), F.coalesce(F.col(system), F.lit("")))
-    made = rows.withColumn("_normalised", once(normalise_for_rules(text))).withColumn("_lower", once(folded(F.col("_normalised"))))
-    return made.withColumn("layer_1", once(first_match(rules, F.col("_normalised"), F.col("_lower")))).drop("_normalised", "_lower")
+    return rows.withColumn("layer_1", once(first_match(active_layer_1(rules), text)))
 
 
 def threshold(score: Column, config: CascadeConfig) -> Column:

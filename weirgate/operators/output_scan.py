@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,28 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirgate.functions.text import SPANS, SYSTEM_PROMPT_LEAK, WordHashes, luhn_ok, match_spans, merge_spans, no_spans, once, redact
-from weirgate.sources.rules import Rule, active_scanner, java_pattern, may_match
+from weirgate.functions import matching
+from weirgate.functions.text import SPANS, SYSTEM_PROMPT_LEAK, WordHashes, no_spans, once, redact
+from weirgate.sources.rules import Rule, active_scanner
 
 #: How much of either text the leak detector of a request reads, and words in a row that make a leak.
 MAX_COMPLETION, MAX_SYSTEM, MIN_WORDS = 20_000, 50_000, 8
 
 
-def rule_spans(rule: Rule, text: Column) -> Column:
-    """A rule's spans that do not touch an ASCII digit outside and, for cards, pass the Luhn check."""
-    spans = match_spans(text, java_pattern(rule.pattern), "SECRET_LEAK" if rule.is_secret else "PII_LEAK")
-    digit = lambda at: F.substring(text, at, F.lit(1)).rlike("^[0-9]$")
-    free = lambda s: ~((s["start"] > 0) & digit(s["start"])) & ~digit(s["end"] + 1)
-    card = lambda s: luhn_ok(F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^0-9]", ""))
-    kept = F.filter(spans, lambda s: free(s) & card(s) if rule.is_card else free(s))
-    first = may_match(rule.pattern, text)
-    return kept if first is None else F.when(first, kept).otherwise(no_spans())
-
-
 def pii_spans(rules: list[Rule], text: Column) -> Column:
-    """Merged spans of all active PII rules."""
-    found = [rule_spans(r, text) for r in active_scanner(rules)]
-    return merge_spans(reduce(lambda a, b: F.concat(a, b), found, no_spans()), F.length(text))
+    """Merged spans of all active PII rules, in one pass over each text."""
+    return matching.rule_spans(active_scanner(rules), text)
 
 
 def shingled(rows: DataFrame, key: str, text: Column, min_words: int) -> DataFrame:
@@ -62,16 +50,20 @@ def runs_to_spans(hits: DataFrame, keys: list[str], min_words: int) -> DataFrame
     return per_run.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("leak_spans"))
 
 
-def leaks_of_own_system(rows: DataFrame, key: str = "request_id", completion: str = "completion", system: str = "system_text", min_words: int = MIN_WORDS, most: tuple[int, int] | None = (MAX_COMPLETION, MAX_SYSTEM)) -> DataFrame:
-    """(key, leak_spans) where a completion repeats min_words words of its own request's system text.
+def own_leak_spans(completion: Column, system: Column, min_words: int = MIN_WORDS, most: tuple[int, int] | None = (MAX_COMPLETION, MAX_SYSTEM)) -> Column:
+    """Spans of a completion that repeat min_words words of its own request's system text.
 
     `most` bounds the characters that a live request has read of both texts; None reads them whole.
     """
-    k = max(1, min_words)
-    texts = [F.left(F.col(c), F.lit(n)) for c, n in zip((completion, system), most)] if most else [F.col(completion), F.col(system)]
-    said = shingled(rows, key, texts[0], k)
-    told = shingled(rows, key, texts[1], k).select(key, "h1", "h2").distinct()
-    return runs_to_spans(said.join(told, [key, "h1", "h2"], "left_semi"), [key], k)
+    if most:
+        completion, system = (F.left(c, F.lit(n)) for c, n in zip((completion, system), most, strict=True))
+    return matching.own_leaks(completion, system, min_words)
+
+
+def leaks_of_own_system(rows: DataFrame, key: str = "request_id", completion: str = "completion", system: str = "system_text", min_words: int = MIN_WORDS, most: tuple[int, int] | None = (MAX_COMPLETION, MAX_SYSTEM)) -> DataFrame:
+    """(key, leak_spans) of each row whose completion leaks its own system text; nothing is shuffled, and rows of one key stay apart."""
+    spans = own_leak_spans(F.col(completion), F.col(system), min_words, most)
+    return rows.select(key, once(spans).alias("leak_spans")).where(F.size("leak_spans") > 0)
 
 
 def leaks_of_corpus(completions: DataFrame, systems: DataFrame, key: str, text: str, system: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,14 +74,13 @@ def leaks_of_corpus(completions: DataFrame, systems: DataFrame, key: str, text:
     return runs_to_spans(said.join(told, ["h1", "h2"], "left_semi"), [key], k)
 
 
-def scan(rows: DataFrame, rules: list[Rule], policy: str = "redact", enabled: bool = True, key: str = "request_id", completion: str = "completion", system: str = "system_text") -> DataFrame:
+def scan(rows: DataFrame, rules: list[Rule], policy: str = "redact", enabled: bool = True, completion: str = "completion", system: str = "system_text") -> DataFrame:
     """rows with spans, categories, output_flagged, scan_action and the text that goes out."""
     if not enabled:
         return rows.select("*", no_spans().alias("spans"), F.array().cast("array<string>").alias("categories"), F.lit(False).alias("output_flagged"), F.lit("PASS").alias("scan_action"), F.col(completion).alias("delivered"))
     text = F.coalesce(F.col(completion), F.lit(""))
-    found = rows.withColumn("_pii", pii_spans(rules, text)).join(leaks_of_own_system(rows, key, completion, system), key, "left")
-    spans = F.array_sort(F.concat(F.coalesce("leak_spans", no_spans()), F.col("_pii")).cast(SPANS))
-    found = found.withColumn("spans", once(spans)).drop("_pii", "leak_spans").withColumn("output_flagged", F.size("spans") > 0)
+    spans = F.array_sort(F.concat(own_leak_spans(text, F.col(system)), pii_spans(rules, text)).cast(SPANS))
+    found = rows.withColumn("spans", once(spans)).withColumn("output_flagged", F.size("spans") > 0)
     action = F.when(F.col("output_flagged"), policy.upper()).otherwise("PASS")
     out = F.when(action == "BLOCK", F.lit(None)).when(action == "REDACT", redact(text, F.col("spans"))).otherwise(F.col(completion))
     return found.select("*", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["category"]))).alias("categories"), action.alias("scan_action"), out.alias("delivered"))

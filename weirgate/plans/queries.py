@@ -11,6 +11,7 @@ from weirgate.functions import format as N
 from weirgate.functions import text as T
 from weirgate.operators import cascade, decision_log, extraction, output_scan
 from weirgate.operators import log_analytics as A
+from weirgate.plans import rules_sql
 from weirgate.plans.log_sql import over_logs, over_rollup
 from weirgate.sources import rules as R
 from weirgate.sources.exports import csv_ready
@@ -303,7 +304,7 @@ def pii_card_hits(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(R.matches(_pii("RULE_PII_CARD_01"), F.col("text"))).select("doc_id")
 
 
-@query()
+@query(rules_sql.pii_scan_sql())
 def pii_scan(spark, sf_dir):
     found = read(spark, sf_dir, "documents").select("doc_id", "text", T.once(output_scan.pii_spans(R.seed_rules(), F.coalesce("text", F.lit("")))).alias("spans"))
     return found.where(F.size("spans") > 0).select("doc_id", F.to_json("spans").alias("spans"), T.redact(F.col("text"), F.col("spans")).alias("redacted"))
@@ -332,6 +333,27 @@ def leak_scan(spark, sf_dir):
     return found.select("doc_id", F.to_json("leak_spans").alias("leak_spans"))
 
 
+_ASSISTANT = "select conv_id id, string_agg(coalesce(text, ''), chr(10) order by turn, text) text from conversations where role = 'assistant' group by 1"
+_TOLD = "select conv_id id, string_agg(coalesce(text, ''), chr(10) order by turn, text) text from conversations where role <> 'assistant' group by 1"
+
+
+@query(f"""
+    with words as (from {_SHINGLES_SQL % f"({_ASSISTANT})"}), told as (select distinct id, run from {_SHINGLES_SQL % f"({_TOLD})"} where n = 3),
+    ends as (select l.id, l.i, l.start, w.stop from words l join words w on w.id = l.id and w.i = l.i + 2 where l.n = 3 and (l.id, l.run) in (select (id, run) from told)),
+    new as (select *, coalesce(i - lag(i) over (partition by id order by i) > 3, true)::int new from ends),
+    runs as (select *, sum(new) over (partition by id order by i) run from new),
+    spans as (select id, run, min(start) s, max(stop) e from runs group by 1, 2)
+    select id conv_id, count(*) n, string_agg(s || '-' || e, ',' order by s) spans from spans group by 1""".replace("7 following", "2 following"))
+def own_leak_scan(spark, sf_dir):
+    """Replies that repeat three words in a row of what their own conversation has told them; whole texts."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "role", F.struct("turn", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    joined = lambda wanted: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.col("t")))), lambda t: t["text"]), "\n")
+    convs = rows.groupBy("conv_id").agg(joined(F.col("role") == "assistant").alias("completion"), joined(F.col("role") != "assistant").alias("system_text"))
+    found = output_scan.leaks_of_own_system(convs, "conv_id", min_words=3, most=None)
+    shown = F.array_join(F.transform("leak_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("conv_id", F.size("leak_spans").cast("long").alias("n"), shown.alias("spans"))
+
+
 def _keyword_sql() -> str:
     rules = [r for r in R.active_layer_1(R.seed_rules()) if r.rule_type == "KEYWORD"]
     return " ".join(f"when contains(lower(t), '{r.pattern}') then '{r.rule_id}'" for r in rules)
@@ -343,7 +365,7 @@ def keyword_hits(spark, sf_dir):
     return cascade.evaluate_rules(read(spark, sf_dir, "conversations"), rules, "text").select("conv_id", "turn", F.coalesce("layer_1.rule_id", F.lit("-")).alias("rule_id"))
 
 
-@query()
+@query(rules_sql.first_match_sql())
 def l1_first_match(spark, sf_dir):
     return cascade.evaluate_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), R.seed_rules(), "text").where("layer_1 is not null").select("doc_id", "layer_1.rule_id", "layer_1.category")
 

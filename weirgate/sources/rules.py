@@ -144,10 +144,23 @@ def active_layer_1(rules: list[Rule]) -> list[Rule]:
     return sorted((r for r in rules if r.is_active and r.rule_type in DOMAINS["rule_type"]), key=lambda r: r.rule_id)
 
 
+class ScannerRuleError(ValueError):
+    """A scanner rule that cannot run: a scan that would silently miss it does not start."""
+
+
 def active_scanner(rules: list[Rule], category: str = "PII") -> list[Rule]:
+    """The scanner's rules by rule_id; one without an id or a pattern, or with a pattern that does not compile, is an error."""
     if category not in DOMAINS["category"]:
         raise ValueError(f"unknown category {category!r}")
-    return sorted((r for r in rules if r.is_active and r.category == category and r.rule_type in ("REGEX", "KEYWORD")), key=lambda r: r.rule_id)
+    found = [r for r in rules if r.is_active and r.category == category and r.rule_type in ("REGEX", "KEYWORD")]
+    for r in found:
+        if not isinstance(r.rule_id, str) or not r.rule_id.strip():
+            raise ScannerRuleError("a scanner rule has no rule_id")
+        if not isinstance(r.pattern, str) or not r.pattern:
+            raise ScannerRuleError(f"scanner rule {r.rule_id!r} has no pattern")
+        if not compiles(r.pattern):
+            raise ScannerRuleError(f"the pattern of scanner rule {r.rule_id!r} does not compile")
+    return sorted(found, key=lambda r: r.rule_id)
 
 
 def list_rules(frame: DataFrame, category: str | None = None, rule_type: str | None = None, active: bool | None = None) -> DataFrame:
@@ -179,9 +192,11 @@ def needed(pattern: str) -> tuple[list[str], bool]:
 
     Where it does not, the literals are in lower case.
     """
-    from re import _constants as c
-    from re import _parser
-
+    try:
+        from re import _constants as c
+        from re import _parser
+    except ImportError:  # a Python without them: every pattern is tried on every text
+        return [], True
     tree = _parser.parse(pattern)
     blind = bool(tree.state.flags & re.I)
 
