@@ -6,6 +6,9 @@ null scores, which the cascade treats as an error that passes to no later layer.
 
 from __future__ import annotations
 
+import collections
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,31 +71,105 @@ def positive(value: object, default: float) -> float:
     return float(value) if ok else default
 
 
-def text_judge(connect: Callable[[], Callable[[str], str]], question: str = "judge_prompt", fallback: str = "BLOCK") -> Judge:
-    """A judge from `connect`, which gives a function from a question to a reply in free text; it never raises.
+class Calls:
+    """Many slow calls at once, with an end to each: at most `at_once` run, one that outlasts `timeout` counts as failed and is left behind.
 
-    A failed call takes the fallback (ALLOW or BLOCK), marked by the rationale "degraded: ...".
+    A failed call is tried `retries` times more (not after a timeout). `per_second` bounds how many begin in a second. A thread that never comes back
+    cannot be ended, only left; after `lost_most` of them all further calls fail at once, so that a dead judge does not fill the worker.
     """
+
+    def __init__(self, ask: Callable[[str], str], at_once: int = 8, timeout: float = 30.0, retries: int = 1, per_second: float | None = None, lost_most: int = 64):
+        self.ask, self.at_once, self.timeout, self.retries, self.per_second, self.lost_most = ask, max(1, at_once), timeout, retries, per_second, lost_most
+        self.lost, self.next_start, self.lock = 0, 0.0, threading.Condition()
+
+    def _pace(self) -> None:
+        if self.per_second:
+            with self.lock:
+                wait = self.next_start - time.monotonic()
+                self.next_start = max(self.next_start, time.monotonic()) + 1 / self.per_second
+            if wait > 0:
+                time.sleep(wait)
+
+    def run(self, questions: list[str]) -> list[str | Exception]:
+        """A reply or the exception for each question, in their order."""
+        found: list[str | Exception | None] = [None] * len(questions)
+        waiting, running = collections.deque(range(len(questions))), {}
+
+        def work(me: object) -> None:
+            while True:
+                with self.lock:
+                    if me in left or not waiting:
+                        return
+                    i = waiting.popleft()
+                self._pace()
+                with self.lock:
+                    running[me] = (i, time.monotonic() + self.timeout)
+                reply: str | Exception = RuntimeError()
+                for _ in range(1 + self.retries):
+                    try:
+                        reply = self.ask(questions[i])
+                        break
+                    except Exception as e:
+                        reply = e
+                with self.lock:
+                    if me in left:
+                        return
+                    running.pop(me, None)
+                    found[i] = reply
+                    self.lock.notify_all()
+
+        left: set[object] = set()
+
+        def start() -> None:
+            threading.Thread(target=work, args=(object(),), daemon=True).start()
+
+        for _ in range(min(self.at_once, len(questions))):
+            start()
+        with self.lock:
+            while any(x is None for x in found):
+                now = time.monotonic()
+                for me, (i, end) in list(running.items()):
+                    if end <= now:
+                        left.add(me)
+                        del running[me]
+                        found[i] = TimeoutError()
+                        self.lost += 1
+                        start()
+                if self.lost >= self.lost_most:
+                    while waiting:
+                        found[waiting.popleft()] = TimeoutError()
+                if any(x is None for x in found):
+                    self.lock.wait(max(0.001, min((end for _, end in running.values()), default=now + 0.05) - now))
+        return found
+
+
+def text_judge(
+    connect: Callable[[], Callable[[str], str]], question: str = "judge_prompt", fallback: str = "BLOCK", at_once: int = 8, timeout: float = 30.0, retries: int = 1, per_second: float | None = None,
+) -> Judge:
+    """A judge from `connect`, which gives a function from a question to a reply in free text; it never raises.
+
+    Questions of a batch are asked at once, as Calls has it; the function must bear that. A failed call takes the fallback
+    (ALLOW or BLOCK), marked by the rationale "degraded: ...".
+    """
     fallback = fallback if fallback in ("ALLOW", "BLOCK") else "BLOCK"
 
+    def verdict(reply: str | Exception) -> tuple:
+        if isinstance(reply, TimeoutError):
+            return fallback, "degraded: timeout", None
+        if isinstance(reply, ConnectionError):
+            return fallback, "degraded: connection_error", None
+        if isinstance(reply, Exception):
+            return fallback, "degraded: unexpected_error", None
+        return read_verdict(reply) or (fallback, "degraded: malformed_response", None)
+
     def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ask = connect()
+        calls = Calls(connect(), at_once, timeout, retries, per_second)
         for batch in batches:
-            found = []
-            for q in batch:
-                if q is None:
-                    found.append((None, None, None))
-                    continue
-                try:
-                    verdict = read_verdict(ask(q)) or (fallback, "degraded: malformed_response", None)
-                except TimeoutError:
-                    verdict = (fallback, "degraded: timeout", None)
-                except ConnectionError:
-                    verdict = (fallback, "degraded: connection_error", None)
-                except Exception:
-                    verdict = (fallback, "degraded: unexpected_error", None)
-                found.append(verdict)
-            yield pd.DataFrame(found, columns=list(VERDICT.names), index=batch.index)
+            asked = [i for i, q in enumerate(batch) if q is not None]
+            rows: list[tuple] = [(None, None, None)] * len(batch)
+            for i, reply in zip(asked, calls.run([batch.iloc[i] for i in asked]), strict=True):
+                rows[i] = verdict(reply)
+            yield pd.DataFrame(rows, columns=list(VERDICT.names), index=batch.index)
 
     verdicts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return lambda df: df.withColumn("verdict", F.pandas_udf(verdicts, VERDICT)(left_to_it(df, question)))

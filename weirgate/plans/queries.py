@@ -92,6 +92,35 @@ def rollup_weighted_latency(spark, sf_dir):
     return A.latency_by_bucket(log, A.hourly_rollup(log), AS_OF, ALL_HOURS, "day")
 
 
+@query(over_logs("""select date_trunc('hour', created_at)::timestamp bucket_start, count(*) total_requests, count(*) filter (is_blocked) blocked_requests, round(avg(execution_time_ms), 6) avg_latency_ms,
+    round(quantile_disc(execution_time_ms, 0.95), 6) p95_latency_ms from logs group by 1"""))
+def stream_sketch_rollup(spark, sf_dir):
+    """The rollup as a stream whose state is bounded; p95 by nearest rank, exact up to A.SKETCH requests an hour."""
+    kept = stream_rollup(spark, f"{sf_dir}/events.parquet", exact=False)
+    return kept.select("bucket_start", "total_requests", "blocked_requests", "avg_latency_ms", "p95_latency_ms")
+
+
+@query(over_rollup("""
+    , d as (select date_trunc('day', created_at)::timestamp bucket, count(*) total, round(quantile_disc(execution_time_ms, 0.95), 6) p95_ms from logs group by 1),
+    m as (select date_trunc('day', created_at)::timestamp bucket, max(p) max_p95_ms from (select date_trunc('hour', created_at) created_at, round(quantile_disc(execution_time_ms, 0.95), 6) p from logs group by 1) group by 1),
+    w as (select date_trunc('day', bucket_start)::timestamp bucket, round(sum(avg_latency_ms * total_requests) / sum(total_requests), 4) avg_ms from hourly group by 1)
+    select bucket, total, avg_ms, max_p95_ms, p95_ms from d join m using (bucket) join w using (bucket)"""))
+def rollup_merged_latency(spark, sf_dir):
+    """Days from hourly sketches: the p95 of all requests of a day beside the largest hourly one; exact up to A.SKETCH requests a day."""
+    hourly = A.sketched_rollup(logs(spark, sf_dir))
+    return A.merged_latency(hourly, [A.truncated("day", "bucket_start").alias("bucket")]).drop("sketch")
+
+
+@query(over_logs("select application_id, count(*) total, true within_bound from logs group by 1"))
+def sketch_rank_error(spark, sf_dir):
+    """Whether small sketches of hours, merged by application, have a p95 whose rank errs by 0.05 at most."""
+    log, k = logs(spark, sf_dir), 256
+    hours = log.groupBy("application_id", A.truncated("hour").alias("hour")).agg(A.latency_sketch(k).alias("s"))
+    merged = hours.groupBy("application_id").agg(F.kll_merge_agg_double("s", F.lit(k)).alias("s")).select("application_id", A.sketch_percentile(F.col("s"), 0.95).alias("p95"))
+    ranks = log.join(F.broadcast(merged), "application_id").groupBy("application_id").agg(F.count("*").alias("total"), F.count_if(F.col("execution_time_ms") <= F.col("p95")).alias("below"))
+    return ranks.select("application_id", "total", (F.abs(F.col("below") / F.col("total") - 0.95) <= 0.05).alias("within_bound"))
+
+
 @query(over_logs("""select date_trunc('hour', created_at)::timestamp bucket, round(avg(execution_time_ms), 6) avg_ms, round(quantile_cont(execution_time_ms, 0.95), 6) p95_ms
     from logs where created_at >= timestamp '2024-01-28' group by 1"""))
 def latency_recent(spark, sf_dir):
@@ -402,15 +431,24 @@ def span_merge(spark, sf_dir):
     return out.where("spans <> ''")
 
 
-def _fingerprint_sql() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(r.rule_id)}, {quote('|'.join((r.rule_id, r.rule_type, r.category, r.pattern, r.severity)))})" for r in R.seed_rules())
-    return f"select sha256(string_agg(line, chr(10) order by rule_id)) fingerprint from (values {rows}) v(rule_id, line)"
+#: Rules that Spark derives from `benchmark`: each item's first words are denied in answers.
+_ITEM_RULES = """items as (select 'ITEM_' || item_id rule_id, ['KEYWORD', 'REGEX'][(item_id % 2 + 1)::int] rule_type, ['JAILBREAK', 'PROMPT_LEAK', 'PII', 'SYSTEM_OVERRIDE'][(item_id % 4 + 1)::int] category,
+    array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ') pattern, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(length(coalesce(text, '')) % 4 + 1)::int] severity, item_id % 5 <> 0 is_active from benchmark)"""
+
+
+def item_rules(spark, sf_dir):
+    one_of = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("ITEM_"), F.col("item_id").cast("string")).alias("rule_id"), one_of(F.col("item_id"), "KEYWORD", "REGEX").alias("rule_type"),
+        one_of(F.col("item_id"), "JAILBREAK", "PROMPT_LEAK", "PII", "SYSTEM_OVERRIDE").alias("category"), F.array_join(F.slice(F.split(text, " "), 1, 5), " ").alias("pattern"),
+        F.lit(None).cast("string").alias("description"), one_of(F.length(text), "LOW", "MEDIUM", "HIGH", "CRITICAL").alias("severity"), (F.col("item_id") % 5 != 0).alias("is_active"),
+    )
 
 
-@query(_fingerprint_sql())
+@query(f"with {_ITEM_RULES} select sha256(coalesce(string_agg(rule_id || '|' || rule_type || '|' || category || '|' || pattern || '|' || severity, chr(10) order by rule_id), '')) fingerprint from items where is_active")
 def rules_fingerprint(spark, sf_dir):
-    return R.rules_fingerprint(R.rules_frame(spark, R.seed_rules()))
+    return R.rules_fingerprint(item_rules(spark, sf_dir))
 
 
 @query(over_logs("""select 'threat_logs' "table", count(*) n from logs union all select 'system_metrics', count(distinct date_trunc('hour', created_at)) from logs"""))
@@ -537,18 +575,28 @@ def span_categories(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", spans.alias("spans")).select("doc_id", output_scan.has_secret(F.col("spans")).alias("secret"), counted.alias("categories"))
 
 
-@query(f"with {_rules_sql()} select rule_id, severity from rules where category = 'PII'")
+@query(f"with {_ITEM_RULES} select rule_id, severity from items where category = 'PII' and is_active")
 def rule_listing(spark, sf_dir):
-    return R.list_rules(R.rules_frame(spark, R.seed_rules()), category="PII", active=True).select("rule_id", "severity")
+    return R.list_rules(item_rules(spark, sf_dir), category="PII", active=True).select("rule_id", "severity")
 
 
-@query(f"""with {_rules_sql()} select case when severity = 'CRITICAL' then 'inserted' when severity = 'HIGH' then 'updated' else 'unchanged' end state, count(*) n from rules group by 1""")
+@query(f"""with {_ITEM_RULES} select case when severity = 'CRITICAL' then 'inserted' when severity = 'HIGH' then 'updated' else 'unchanged' end state, count(*) n from items group by 1""")
 def seed_states(spark, sf_dir):
-    wanted = R.rules_frame(spark, R.seed_rules())
-    have = wanted.where("severity <> 'CRITICAL'").withColumn("is_active", F.col("severity") != "HIGH")
+    wanted = item_rules(spark, sf_dir)
+    have = wanted.where("severity <> 'CRITICAL'").withColumn("is_active", F.when(F.col("severity") == "HIGH", ~F.col("is_active")).otherwise(F.col("is_active")))
     return seed_difference(have, wanted).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+    with {_ITEM_RULES}, n as (select doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) t from documents),
+    r as (select rule_id, lower(pattern) p from items where is_active and rule_type = 'KEYWORD' and pattern <> '')
+    select doc_id, min(rule_id) rule_id from n join r on contains(t, p) group by 1""")
+def stored_rule_hits(spark, sf_dir):
+    """The keyword rules that a store holds, met in documents: the first by rule_id."""
+    rules = [r for r in R.rules_from(item_rules(spark, sf_dir)) if r.rule_type == "KEYWORD" and r.pattern]
+    return cascade.evaluate_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), rules, "text").where("layer_1 is not null").select("doc_id", "layer_1.rule_id")
+
+
 @query("""select doc_id, ['Created rule R' || doc_id, 'Updated rule R' || doc_id, 'Deleted rule R' || doc_id, 'Firewall switched on', 'Firewall switched off', 'Changed settings'][doc_id % 6 + 1] message from documents""")
 def audit_messages(spark, sf_dir):
     one_of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % 6 + 1).cast("int"))

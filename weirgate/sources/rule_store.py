@@ -1,15 +1,15 @@
-"""Mutable rules with an audit trail, on files that are only ever added.
+"""Mutable rules with an audit trail, as numbered versions.
 
-A change writes a new version of the rule table and one audit row, then replaces a pointer file that names
-the current version. Readers follow the pointer, so they see the rules before or after a change, never
-between; an audit row counts if its version is not newer than the pointer. There is one writer at a time.
-Rules are few: the store keeps them on the driver and hands out frames.
+A change reads the newest version and publishes the next one, rules and audit rows in one file; of two writers
+that come at once, one publishes and the other applies its change to what the first has made. So no change is
+lost, and readers see the rules before or after a change, never between. Rules are few: the store keeps them on
+the driver and hands out frames; the audit trail is read by Spark.
 """
 
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Callable
 from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weirgate.operators.log_analytics import hourly_rollup
 from weirgate.sources.exports import replace_file, write_rollup
 from weirgate.sources.rules import Rule, rules_frame
+from weirgate.sources.snapshots import VersionLog
 from weirgate.sources.tables import AUDIT_LOGS
 
 UPDATABLE = ("rule_type", "category", "pattern", "description", "severity", "is_active")
@@ -27,103 +28,135 @@ class RuleError(ValueError):
     """A change that the store refuses."""
 
 
+#: What a version holds, as Spark reads it; details of an audit row are JSON.
+VERSION = "audit array<struct<timestamp:string,admin_user:string,action:string,target_rule_id:string,change_details:string>>"
+TRIES = 100
+
+Change = Callable[[list[Rule]], tuple[list[Rule], list[dict]] | None]
+
+
 class RuleStore:
+    """Rules in a folder of any Hadoop file system that several writers may change at once."""
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder, self.log = spark, folder, VersionLog(spark, f"{folder}/versions")
 
-    def _version(self) -> int:
-        try:
-            with open(f"{self.folder}/current.json", encoding="utf-8") as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return 0
+    def _at(self, version: int) -> list[Rule]:
+        return [Rule(**x) for x in self.log.read(version)["rules"]] if version else []
 
     def rules(self) -> list[Rule]:
-        version = self._version()
-        if not version:
-            return []
-        with open(f"{self.folder}/rules-{version}.json", encoding="utf-8") as f:
-            return [Rule(**x) for x in json.load(f)["rules"]]
+        return self._at(self.log.latest())
 
     def frame(self) -> DataFrame:
         return rules_frame(self.spark, self.rules())
 
     def audit(self) -> DataFrame:
-        """The audit rows of all committed changes."""
-        rows = []
-        for version in range(1, self._version() + 1):
-            with open(f"{self.folder}/rules-{version}.json", encoding="utf-8") as f:
-                rows += json.load(f)["audit"]
-        table = self.spark.createDataFrame([(r["timestamp"], r["admin_user"], r["action"], r["target_rule_id"], json.dumps(r["change_details"])) for r in rows], AUDIT_LOGS.replace("timestamp timestamp", "timestamp string"))
-        return table.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-
-    def _commit(self, rules: list[Rule], audit: list[dict]) -> None:
-        version = self._version() + 1
-        replace_file(f"{self.folder}/rules-{version}.json", {"rules": [asdict(r) for r in sorted(rules, key=lambda r: r.rule_id)], "audit": audit})
-        replace_file(f"{self.folder}/current.json", {"version": version})
+        """The audit rows of all changes, read by Spark from the versions."""
+        if not self.log.latest():
+            return self.spark.createDataFrame([], AUDIT_LOGS)
+        rows = self.spark.read.schema(VERSION).json(f"{self.folder}/versions").select(F.explode("audit").alias("a")).select("a.*")
+        return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+    def _change(self, change: Change) -> None:
+        """Publish what `change` makes of the newest rules; if another writer was first, of what they have made. None: nothing changes."""
+        for _ in range(TRIES):
+            version = self.log.latest()
+            made = change(self._at(version))
+            if made is None:
+                return
+            rules, audit = made
+            if self.log.publish(version + 1, {"rules": [asdict(r) for r in sorted(rules, key=lambda r: r.rule_id)], "audit": audit}):
+                return
+        raise RuleError("too many writers at once")
 
     @staticmethod
     def _entry(at: str, user: str, action: str, target: str | None, before: dict | None, after: dict | None, **details) -> dict:
-        return {"timestamp": at, "admin_user": user, "action": action, "target_rule_id": target, "change_details": {"before": before, "after": after, **details}}
+        return {"timestamp": at, "admin_user": user, "action": action, "target_rule_id": target, "change_details": json.dumps({"before": before, "after": after, **details}, default=str)}
 
     def create(self, rule: Rule, user: str, at: str) -> Rule:
-        rules = self.rules()
         if found := rule.problems():
             raise RuleError(f"invalid {', '.join(found)}")
-        if any(r.rule_id == rule.rule_id for r in rules):
-            raise RuleError(f"{rule.rule_id} exists")
-        self._commit([*rules, rule], [self._entry(at, user, "RULE_CREATED", rule.rule_id, None, asdict(rule))])
+
+        def change(rules: list[Rule]):
+            if any(r.rule_id == rule.rule_id for r in rules):
+                raise RuleError(f"{rule.rule_id} exists")
+            return [*rules, rule], [self._entry(at, user, "RULE_CREATED", rule.rule_id, None, asdict(rule))]
+
+        self._change(change)
         return rule
 
     def update(self, rule_id: str, changes: dict, user: str, at: str) -> Rule:
         """The rule with the changes; without a difference nothing is written."""
         if unknown := set(changes) - set(UPDATABLE):
             raise RuleError(f"cannot change {sorted(unknown)}")
-        rules = {r.rule_id: r for r in self.rules()}
-        if rule_id not in rules:
-            raise RuleError(f"no rule {rule_id}")
-        old, new = rules[rule_id], replace(rules[rule_id], **changes)
-        if new == old:
-            return old
-        if found := new.problems():
-            raise RuleError(f"invalid {', '.join(found)}")
-        self._commit([*(r for r in rules.values() if r.rule_id != rule_id), new], [self._entry(at, user, "RULE_UPDATED", rule_id, asdict(old), asdict(new))])
-        return new
+        result: list[Rule] = []
+
+        def change(rules: list[Rule]):
+            by_id = {r.rule_id: r for r in rules}
+            if rule_id not in by_id:
+                raise RuleError(f"no rule {rule_id}")
+            old, new = by_id[rule_id], replace(by_id[rule_id], **changes)
+            result[:] = [new]
+            if new == old:
+                return None
+            if found := new.problems():
+                raise RuleError(f"invalid {', '.join(found)}")
+            return [*(r for r in rules if r.rule_id != rule_id), new], [self._entry(at, user, "RULE_UPDATED", rule_id, asdict(old), asdict(new))]
+
+        self._change(change)
+        return result[0]
 
     def delete(self, rule_id: str, user: str, at: str) -> None:
-        rules = {r.rule_id: r for r in self.rules()}
-        old = rules.pop(rule_id, None)
-        if old is None:
-            raise RuleError(f"no rule {rule_id}")
-        self._commit(list(rules.values()), [self._entry(at, user, "RULE_DELETED", rule_id, asdict(old), None)])
+        def change(rules: list[Rule]):
+            old = next((r for r in rules if r.rule_id == rule_id), None)
+            if old is None:
+                raise RuleError(f"no rule {rule_id}")
+            return [r for r in rules if r.rule_id != rule_id], [self._entry(at, user, "RULE_DELETED", rule_id, asdict(old), None)]
+
+        self._change(change)
 
     def seed(self, wanted: list[Rule], user: str, at: str) -> dict[str, int]:
         """Insert what is missing and update what differs, in one version; counts of each."""
-        have = {r.rule_id: r for r in self.rules()}
-        new = [r for r in wanted if r.rule_id not in have]
-        changed = [r for r in wanted if r.rule_id in have and have[r.rule_id] != r]
         if bad := [r.rule_id for r in wanted if r.problems()]:
             raise RuleError(f"invalid rules {bad}")
-        if new or changed:
+        counts: dict[str, int] = {}
+
+        def change(rules: list[Rule]):
+            have = {r.rule_id: r for r in rules}
+            new = [r for r in wanted if r.rule_id not in have]
+            changed = [r for r in wanted if r.rule_id in have and have[r.rule_id] != r]
+            counts.update(inserted=len(new), updated=len(changed), unchanged=len(wanted) - len(new) - len(changed))
+            if not new and not changed:
+                return None
             audit = [self._entry(at, user, "RULE_CREATED", r.rule_id, None, asdict(r)) for r in new] + [self._entry(at, user, "RULE_UPDATED", r.rule_id, asdict(have[r.rule_id]), asdict(r)) for r in changed]
-            self._commit(list((have | {r.rule_id: r for r in wanted}).values()), audit)
-        return {"inserted": len(new), "updated": len(changed), "unchanged": len(wanted) - len(new) - len(changed)}
+            return list((have | {r.rule_id: r for r in wanted}).values()), audit
+
+        self._change(change)
+        return counts
 
     def save_settings(self, before: dict, after: dict, path: str, user: str, at: str) -> None:
         """Replace a settings file and record the change."""
         if before != after:
             replace_file(path, after)
-            self._commit(self.rules(), [self._entry(at, user, "THRESHOLD_CHANGED", None, before, after)])
+            self._change(lambda rules: (rules, [self._entry(at, user, "THRESHOLD_CHANGED", None, before, after)]))
 
     def add_deny_phrase(self, phrase: str, user: str, at: str) -> Rule:
         """A keyword rule with the next free number; a phrase that exists in any case is refused."""
-        rules = self.rules()
-        if any(r.rule_type == "KEYWORD" and r.pattern.lower() == phrase.strip().lower() for r in rules):
-            raise RuleError("the phrase exists")
-        used = {r.rule_id for r in rules}
-        name = next(f"RULE_DENY_{n:02d}" for n in range(1, len(used) + 2) if f"RULE_DENY_{n:02d}" not in used)
-        return self.create(Rule(name, "KEYWORD", "JAILBREAK", "HIGH", phrase.strip()), user, at)
+        result: list[Rule] = []
+
+        def change(rules: list[Rule]):
+            if any(r.rule_type == "KEYWORD" and r.pattern.lower() == phrase.strip().lower() for r in rules):
+                raise RuleError("the phrase exists")
+            used = {r.rule_id for r in rules}
+            name = next(f"RULE_DENY_{n:02d}" for n in range(1, len(used) + 2) if f"RULE_DENY_{n:02d}" not in used)
+            rule = Rule(name, "KEYWORD", "JAILBREAK", "HIGH", phrase.strip())
+            if found := rule.problems():
+                raise RuleError(f"invalid {', '.join(found)}")
+            result[:] = [rule]
+            return [*rules, rule], [self._entry(at, user, "RULE_CREATED", name, None, asdict(rule))]
+
+        self._change(change)
+        return result[0]
 
 
 def audit_message(action: Column, target: Column, details: Column) -> Column:
@@ -168,7 +201,7 @@ def retire(spark: SparkSession, path: str, rollup_path: str, cutoff_day: str) ->
 
     Later rollups read the log as it is then, so no deleted hour is ever made anew.
     """
-    write_rollup(hourly_rollup(spark.read.parquet(path).where(F.col("log_date") < F.lit(cutoff_day).cast("date")), exact=False), rollup_path)
+    write_rollup(hourly_rollup(spark.read.parquet(path).where(F.col("log_date") < F.lit(cutoff_day).cast("date"))), rollup_path)
     return delete_before(spark, path, cutoff_day)
 
 
@@ -196,7 +229,7 @@ def reset_demo(spark: SparkSession, path: str, rollup_path: str, is_demo: Column
     kept.write.mode("append").partitionBy("log_date").parquet(path)
     for day in days:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{rollup_path}/day={day}"), True)
-    write_rollup(hourly_rollup(spark.read.schema(log.schema).parquet(path).where(F.col("log_date").isin(days)), exact=False), rollup_path)
+    write_rollup(hourly_rollup(spark.read.schema(log.schema).parquet(path).where(F.col("log_date").isin(days))), rollup_path)
     return n
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +27,20 @@ DOMAINS = {
     "severity": ("LOW", "MEDIUM", "HIGH", "CRITICAL"),
     "action": ("RULE_CREATED", "RULE_UPDATED", "RULE_DELETED", "THRESHOLD_CHANGED"),
 }
-#: The kinds of demo traffic by upper bound of k, in thousandths (action, layer, blocked, flagged).
-KINDS = (
+#: The kinds of demo traffic with their weights in thousandths (action, layer, blocked, flagged).
+WEIGHTS = (
     ("pass_l2", 810, "PASSED", "NONE", False, False),
-    ("pass_l3", 870, "PASSED", "LAYER_3", False, False),
-    ("pass_flagged", 880, "PASSED", "NONE", False, True),
-    ("redact_l3", 890, "REDACTED", "LAYER_3", False, False),
-    ("redact_out", 900, "REDACTED", "OUTPUT_SCANNER", False, True),
-    ("block_l1", 945, "BLOCKED", "LAYER_1", True, False),
-    ("block_l2", 970, "BLOCKED", "LAYER_2", True, False),
-    ("block_l3", 990, "BLOCKED", "LAYER_3", True, False),
-    ("block_out", 1000, "BLOCKED", "OUTPUT_SCANNER", True, True),
+    ("pass_l3", 60, "PASSED", "LAYER_3", False, False),
+    ("pass_flagged", 10, "PASSED", "NONE", False, True),
+    ("redact_l3", 10, "REDACTED", "LAYER_3", False, False),
+    ("redact_out", 10, "REDACTED", "OUTPUT_SCANNER", False, True),
+    ("block_l1", 45, "BLOCKED", "LAYER_1", True, False),
+    ("block_l2", 25, "BLOCKED", "LAYER_2", True, False),
+    ("block_l3", 20, "BLOCKED", "LAYER_3", True, False),
+    ("block_out", 10, "BLOCKED", "OUTPUT_SCANNER", True, True),
 )
+#: The same by the upper bound of k, which runs through the thousandths.
+KINDS = tuple((row[0], upto, *row[2:]) for row, upto in zip(WEIGHTS, accumulate(w for _, w, *_ in WEIGHTS), strict=True))
 DEMO_RULES = (
     "RULE_SYSTEM_OVERRIDE_01", "RULE_SYSTEM_OVERRIDE_02", "RULE_SYSTEM_OVERRIDE_03", "RULE_JAILBREAK_01", "RULE_JAILBREAK_02", "RULE_PROMPT_LEAK_01", "RULE_PROMPT_LEAK_02",
 )
