@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast[bytes]:
+    """value for all tasks; received() there. Pickled with its classes, as executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast[bytes]):
+    return pickle.loads(broadcast.value)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written once as Parquet in the shared checkpoint folder and read from there, and its folder, for discard()."""
     shared_checkpoints(df.sparkSession)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import CHUNK_BYTES, Words, mix64, text_chunks
+from weirgate.llm.common import CHUNK_BYTES, Words, mix64, received, sent, text_chunks
 
 SIMILARITY, RECALL = 0.8, 0.97
 #: Items of fewer words are found verbatim only, and those of fewer than EXACT_WORDS not at all.
@@ -293,14 +293,15 @@ def _block(items: DataFrame, i: int, blocks: int, similarity: float, recall: flo
 
 
 def _matched(docs: DataFrame, spark, block: Block) -> DataFrame:
-    sent = spark.sparkContext.broadcast(block)
+    block_sent = sent(spark, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = received(block_sent)
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("similarity", pa.float64())])
         for batch in text_chunks(batches, "text", CHUNK_BYTES):
             words = Words(batch.column("text"))
             rows = []
-            for row, name, start, end, edits, n in matches(sent.value, words):
+            for row, name, start, end, edits, n in matches(block, words):
                 origin = int(words.text_end[row - 1]) if row else 0
                 own = words.data[origin : int(words.text_end[row])]
                 point = lambda byte, own=own, origin=origin: int(((own[: byte - origin] & 0xC0) != 0x80).sum())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import mix64, text_bytes, text_chunks
+from weirgate.llm.common import mix64, received, sent, text_bytes, text_chunks
 
 UNKNOWN = "und"
 #: Labelled documents of a language that teach it, and the most languages that are learned (the most frequent).
@@ -175,12 +175,13 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def classify(docs: DataFrame, model: Filter) -> DataFrame:
     """docs with lang_pred, score and evidence as further columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    filters = sent(docs.sparkSession, model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(filters)
         for batch in text_chunks(batches, "text"):
-            if sent.value.languages:
-                names, score, evidence = judged(sent.value, batch.column("text"))
+            if model.languages:
+                names, score, evidence = judged(model, batch.column("text"))
             else:
                 names, score, evidence = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(evidence)], names=[*batch.schema.names, "lang_pred", "score", "evidence"])
