@@ -42,9 +42,7 @@ def outcome(request_error: Column, failure: Column, is_blocked: Column, triggere
         request_error, F.when(~bypassed, failure), F.when(~bypassed & is_blocked & (triggered_layer != "OUTPUT_SCANNER"), "blocked_input"),
         F.when(upstream_error == "timeout", "upstream_timeout"), F.when(upstream_error.isNotNull(), "upstream_error"), F.when(~bypassed & is_blocked, "blocked_output"),
     )
-    status = F.when(code.isNull(), F.coalesce(upstream_status, F.lit(200)))
-    for name, value in OUTCOMES.items():
-        status = status.when(code == name, F.lit(value))
+    status = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in OUTCOMES.items() for x in pair)), F.coalesce(code, F.lit(""))), upstream_status, F.lit(200))
     return F.struct(status.alias("status_code"), code.alias("error_code"), F.when(bypassed, "BYPASSED").otherwise(action).alias("firewall_action"))
 
 

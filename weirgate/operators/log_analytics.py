@@ -243,11 +243,17 @@ def latency_percentiles(logs: DataFrame) -> DataFrame:
 
 
 def latency_stats(logs: DataFrame, last: int = 1000) -> DataFrame:
-    """count, p50, p95 and max of each application's last samples, by nearest index (half to even)."""
+    """count, p50, p95 and max of each application's last samples, by nearest index (half to even).
+
+    The newest rows are found in three steps: of each task (up to 1,000, Spark's limit for groups that it cuts before
+    a shuffle), of each of 256 shares of the tasks, and of the application, which gets 256 times `last` rows at most.
+    """
     from pyspark.sql import Window
 
-    newest = Window.partitionBy("application_id").orderBy(F.desc("created_at"), F.desc("request_id"))
-    rows = logs.select("application_id", "execution_time_ms", F.row_number().over(newest).alias("r")).where(F.col("r") <= last)
+    order = (F.desc("created_at"), F.desc("request_id"))
+    shares = logs.select("application_id", "execution_time_ms", "created_at", "request_id", (F.spark_partition_id() % 256).alias("share"))
+    rows = shares.withColumn("r", F.row_number().over(Window.partitionBy("application_id", "share").orderBy(*order))).where(F.col("r") <= last)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("application_id").orderBy(*order))).where(F.col("r") <= last)
     sums = rows.groupBy("application_id").agg(F.array_sort(F.collect_list("execution_time_ms")).alias("x"))
     at = lambda p: F.round(F.element_at("x", (F.rint(F.lit(p) * (F.size("x") - 1)) + 1).cast("int")), 3)
     return sums.select("application_id", F.size("x").cast("long").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.element_at("x", F.lit(-1)), 3).alias("max"))

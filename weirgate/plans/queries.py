@@ -11,6 +11,7 @@ from weirgate.functions import format as N
 from weirgate.functions import text as T
 from weirgate.operators import cascade, decision_log, extraction, output_scan
 from weirgate.operators import log_analytics as A
+from weirgate.operators import log_search as S
 from weirgate.plans import rules_sql
 from weirgate.plans.log_sql import over_logs, over_rollup
 from weirgate.sources import rules as R
@@ -263,6 +264,31 @@ def export_top(spark, sf_dir):
     return rows.select(*A.SEARCH_COLUMNS, F.left("raw_prompt", F.lit(200)).alias("prompt_preview"))
 
 
+@query(over_logs(f"select {_SEARCH} from logs order by created_at desc, request_id desc limit 200 offset 400"))
+def search_deep_page(spark, sf_dir):
+    """The third page through the directory of days, in stretches of 50 rows, so that counts narrow it down."""
+    return S.page_at(logs(spark, sf_dir), A.LogFilters(), 3, 200, stretch=50)[0]
+
+
+@query(over_logs(f"select {_SEARCH} from logs where not is_blocked order by created_at desc, request_id desc limit 100 offset 100"))
+def search_next_page(spark, sf_dir):
+    """The page behind the cursor of the first page's last row."""
+    rows, filters = logs(spark, sf_dir), A.LogFilters(is_blocked=False)
+    days = S.day_counts(rows, filters)
+    last = S.page_at(rows, filters, 1, 100, days)[0].orderBy("created_at", "request_id").first()
+    return S.page_after(rows, filters, S.cursor_of(last), 100, days)
+
+
+@query("select doc_id from documents where text ilike '%the council%' or text ilike '%password%'")
+def indexed_substrings(spark, sf_dir):
+    """Documents that hold one of two phrases, by the signatures of the table's files, made here, and an exact comparison after them."""
+    table = read(spark, sf_dir, "documents")
+    marked, phrases = table.select("doc_id", "text", F.col("_metadata.file_path").alias("file")), ("The Council", "PASSWORD")
+    signatures = S.file_signatures(table, "text")
+    hits = [marked.join(F.broadcast(S.files_that_may_hold(signatures, p)), "file", "left_semi").where(F.col("text").ilike(f"%{p}%")).select("doc_id") for p in phrases]
+    return hits[0].unionByName(hits[1]).distinct()
+
+
 @query(over_logs("select count(*) n, min(request_id) first_id from logs where bypassed"))
 def bypass_only(spark, sf_dir):
     return logs(spark, sf_dir).where(A.status_filter("Bypassed").predicate()).agg(F.count("*").alias("n"), F.min("request_id").alias("first_id"))
@@ -486,6 +512,53 @@ def http_outcome(spark, sf_dir):
     return logs(spark, sf_dir).select("request_id", out.alias("o")).select("request_id", "o.*")
 
 
+_FAILURE = """case when n % 41 = 0 then 'pipeline' when n % 43 = 0 then 'scanner' end failure,
+    case when n % 29 = 0 then 'invalid_json' when n % 31 = 0 then 'streaming_not_supported' end request_error, case when n % 17 = 0 then 'timeout' when n % 19 = 0 then 'connect' end upstream_error,
+    case when n % 13 = 0 then 429 end upstream_status"""
+
+
+def _with_failures(spark, sf_dir):
+    """The log with failures of all kinds, which the ids of its requests choose."""
+    n = F.expr("cast(substring(request_id, 5) as bigint)")
+    every = lambda k: n % k == 0
+    return logs(spark, sf_dir).select(
+        "*", F.when(every(41), "pipeline").when(every(43), "scanner").alias("failure"), F.when(every(29), "invalid_json").when(every(31), "streaming_not_supported").alias("request_error"),
+        F.when(every(17), "timeout").when(every(19), "connect").alias("upstream_error"), F.when(every(13), 429).alias("upstream_status"),
+    )
+
+
+@query(over_logs(f"""
+    , f as (select *, {_FAILURE} from (select *, substr(request_id, 5)::bigint n from logs)),
+    c as (select *, case when request_error is not null then request_error when not bypassed and failure is not null then failure || '_failure'
+        when not bypassed and is_blocked and triggered_layer <> 'OUTPUT_SCANNER' then 'blocked_input' when upstream_error = 'timeout' then 'upstream_timeout' when upstream_error is not null then 'upstream_error'
+        when not bypassed and is_blocked then 'blocked_output' end error_code from f)
+    select request_id, error_code, case error_code when 'invalid_json' then 400 when 'streaming_not_supported' then 400 when 'blocked_input' then 403 when 'blocked_output' then 403 when 'pipeline_failure' then 503
+        when 'scanner_failure' then 503 when 'upstream_error' then 502 when 'upstream_timeout' then 504 else coalesce(upstream_status, 200) end::int status_code,
+        case when bypassed then 'BYPASSED' else action_taken end firewall_action from c"""))
+def http_failures(spark, sf_dir):
+    failed = F.concat("failure", F.lit("_failure"))
+    out = decision_log.outcome(F.col("request_error"), failed, F.col("is_blocked"), F.col("triggered_layer"), F.col("upstream_error"), F.col("upstream_status"), A.bypassed(), F.col("action_taken"))
+    return _with_failures(spark, sf_dir).select("request_id", out.alias("o")).select("request_id", "o.*")
+
+
+@query(over_logs(f"""
+    , f as (select *, {_FAILURE} from (select *, substr(request_id, 5)::bigint n from logs))
+    select request_id, case when bypassed then 'PASSED' when failure = 'pipeline' then 'BLOCKED' when failure = 'scanner' then 'PASSED' else action_taken end action_taken,
+        case when failure is not null or bypassed then 'NONE' else triggered_layer end triggered_layer, case when bypassed then false when failure is not null then failure = 'pipeline' else is_blocked end is_blocked,
+        case when bypassed then 0.0::double else coalesce(risk_score, 0.0::double) end risk_score,
+        case when bypassed then coalesce(case when n % 13 = 0 then '429' end, '') || '/' || coalesce(upstream_error, '') else coalesce('' || failure || case failure when 'pipeline' then '_failure_fail_closed' else '_failure_fail_open' end, '-') end note from f"""))
+def failure_rows(spark, sf_dir):
+    """The log's rows if the pipeline fails closed, the scanner open, and bypassed rows keep what the provider answered."""
+    rows = _with_failures(spark, sf_dir)
+    past = decision_log.bypass_entry(rows.where(A.bypassed()), F.col("upstream_status"), F.col("upstream_error"))
+    rest = decision_log.failure_entry(rows.where(~A.bypassed()), F.coalesce(F.col("failure") == "pipeline", F.lit(False)), "pipeline")
+    rest = decision_log.failure_entry(rest, F.coalesce(F.col("failure") == "scanner", F.lit(False)), "scanner", fail_open=True)
+    at = lambda key: F.get_json_object("layer_details", f"$.{key}")
+    note = F.when(A.bypassed(), F.concat(F.coalesce(at("upstream_status"), F.lit("")), F.lit("/"), F.coalesce(at("upstream_error"), F.lit("")))).otherwise(F.coalesce(at("error"), F.lit("-")))
+    entries = decision_log.entry_from_result(rest.withColumn("rule_id", F.get("detected_patterns", F.lit(0)))).unionByName(past.withColumn("rule_id", F.lit(None).cast("string")))
+    return entries.select("request_id", "action_taken", "triggered_layer", "is_blocked", "risk_score", note.alias("note"))
+
+
 @query(over_logs("select least(9, greatest(0, floor(least(19, floor(risk_score * 20)) / 20.0::double * 10)))::int tenth, count(*) n from logs group by 1"))
 def risk_tenths(spark, sf_dir):
     fine = F.least(F.lit(19), F.floor(F.col("risk_score") * 20)) / 20.0
