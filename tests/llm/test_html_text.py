@@ -119,3 +119,34 @@ def test_long_pages_take_linear_time():
 
     for make in (lambda n: "<div>" * n + "x" + "</p>" * n, lambda n: "<div>" * n + "<li>x</li>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li>x</li>" * n, lambda n: "<p>words and more words.</p><a href=1>b</a><div class=ad>c</div>" * n, lambda n: "<section>words <a href=1>and links</a>" * n):
         assert seconds(make(20_000)) < 20 * seconds(make(4_000)) + 0.5
+
+
+def test_text_that_nothing_speaks_against_stays():
+    assert main_text("<p>Hello</p>") == "Hello" == main_text("<nav><a href=/>Home</a></nav><p>Hello</p><footer>x</footer>")
+    assert main_text("plain text") == "plain text" and main_text("<h1>Hi</h1><p>Two words</p>") == "Hi\n\nTwo words"
+    sections = "<section><p>Some words here</p><ul><li><a href=1>x</a></li></ul></section>" * 1000
+    assert main_text(sections) == "\n\n".join(["Some words here\n\nx"] * 1000)
+    assert main_text("<ul>" + "<li><a href=/a>A link</a></li>" * 9 + "</ul>") == ""
+
+
+def test_names_of_comments_adverts_and_menus():
+    prose = "Real prose text stands in this place."
+    course = "The menu of the restaurant has ten courses this year."
+    junk = '<article class="comment"><p>I liked this very much indeed, thanks.</p></article><div id="ad-300x250">Buy</div><div class="adsbygoogle">Buy it</div><div class="menu"><a href=1>Home</a></div>'
+    assert main_text(f'<article class="post related"><p>{prose}</p><div class="menu"><p>{course}</p></div>{junk}</article>') == f"{prose}\n\n{course}"
+
+
+def test_ends_of_tags_and_comments():
+    assert main_text('<p title="a>b">q</p>') == "q" and main_text("<p title='it>q</p>r") == "q\n\nr"
+    assert main_text("a <!-- x") == "a" and main_text("a < b <!-- x --> c <d") == "a < b c <d" and main_text("<p>a<b") == "a<b"
+    assert main_text('<!-- <p>x --><p>y<script>var a="</p>"</script>z') == "yz" and main_text("<p>x<script></script y") == "x"
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for part in ('<p class="a" ', '<a "', "<!", '<a ">" ', "<script></script ", "<a \"'>", "<b '\">\" ", "<!--", '<a b="'):
+        for page in (part * (1_000_000 // len(part)), part * (1_000_000 // len(part)) + ">"):
+            at = time.process_time()
+            main_text(page)
+            assert time.process_time() - at < 5, part

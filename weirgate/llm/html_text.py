@@ -5,7 +5,7 @@ A linear classifier gives each node a cost of being called content and one of be
 capacities of its edges to the two terminals: a block is judged by its words, sentence end and links, an
 element by its tag and, if it is a container, by its name. Smoothness edges join blocks that follow one
 another, a block and its element, and an element and its parent. The side of the source in a minimum cut is
-the content.
+the content. Text that nothing speaks against is content, so a page without boilerplate keeps all of its text.
 
 A block's own costs are weaker than its edge to its element, so short blocks go with what is around them,
 and an element's costs and edges grow with the number of its blocks, so long lists weigh no more than short
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from weirgate.llm.common import text_chunks
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+(?=>)|[^>]*)>""", re.DOTALL)
+OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title"}
 BLOCK = {
@@ -51,13 +52,15 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILER_TAGS = {"head", "nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "select", "option", "button", "search", "label", "legend"}
 MAIN_TAGS = {"article", "main"}
 #: Containers, whose class, id, role and itemprop may tell what they hold.
-NAMED_TAGS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details"}
+NAMED_TAGS = {"article", "div", "section", "ul", "ol", "dl", "table", "figure", "details"}
 BOILER_NAMES = {
     "nav", "navbar", "navigation", "menu", "submenu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "promo",
     "promos", "promotion", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "comment", "comments",
-    "commenter", "disqus", "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "commenter", "adsbygoogle", "adsense", "disqus", "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager",
     "subscribe", "subscription", "newsletter", "copyright", "toolbar", "login", "signin", "signup", "search", "contentinfo", "complementary", "form", "hidden",
 }
+#: Those of them that mean lists of links; they also name what prose is about, so they count for blocks that are no prose.
+LINK_NAMES = {"nav", "navbar", "navigation", "menu", "submenu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar"}
 #: What may stand beside such a word in a name, as in comment-list or site_footer; any other word makes it a name of something else.
 FILLER = {
     "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "box", "bar", "list", "wrapper", "wrap", "container", "area", "inner", "outer",
@@ -67,7 +70,11 @@ FILLER = {
 MAIN_NAMES = {"article", "articlebody", "main", "content", "post", "entry", "story", "body", "text"}
 #: Costs of a block (above 0: rather content), and of an element for each block that it holds.
 WEIGHTS = {"prior": -0.8, "words": 1.6, "sentence": 0.4, "links": -1.2, "outside_main": -2.0}
+#: The same where no element says that it holds the main text: what nothing speaks against is content, however short.
+UNMARKED = {"prior": 1.0, "words": 0.2, "sentence": 0.2, "links": -1.9, "outside_main": 0.0}
 ELEMENTS = {"boiler_tag": -7.0, "main_tag": 7.0, "boiler_name": -5.0, "main_name": 1.0, "hidden": -20.0, "outside_main": -3.0}
+#: What a sentence may end with.
+ENDS = ".!?…:;\"'»”"
 #: Smoothness: between neighbouring blocks, a block and its element, an element and its parent (and more for each block,
 #: unless its tag or name says that something of its own begins there).
 FOLLOWS, INSIDE, NESTED, NESTED_BLOCK = 0.4, 2.5, 0.5, 1.6
@@ -82,14 +89,15 @@ class Block(NamedTuple):
 class Element:
     """An open or closed element: its parent, what is known of it, and whether it lies in an article."""
 
-    __slots__ = ("blocks", "cost", "headline", "main", "parent", "tag")
+    __slots__ = ("blocks", "cost", "headline", "listing", "main", "parent", "tag", "thin")
 
-    def __init__(self, tag: str, parent: int, cost: float, main: bool, headline: int):
-        self.tag, self.parent, self.cost, self.main, self.headline, self.blocks = tag, parent, cost, main, headline, 0
+    def __init__(self, tag: str, parent: int, cost: float, listing: float, main: bool, headline: int):
+        self.tag, self.parent, self.cost, self.listing, self.main, self.headline, self.blocks, self.thin = tag, parent, cost, listing, main, headline, 0, 0
 
 
 def words_in(name: str) -> list[str]:
-    return [w.lower() for w in re.findall(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*", name)]
+    """The words of a class or id in lower case, without numbers and sizes as in ad-300x250."""
+    return [w.lower() for w in re.findall(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*", re.sub(r"\d+(?:x\d+)?", " ", name))]
 
 
 def means_boilerplate(name: str) -> bool:
@@ -99,26 +107,34 @@ def means_boilerplate(name: str) -> bool:
         if word in BOILER_NAMES:
             found = True
         elif word not in FILLER:
-            # Two words in one, as in commentlist or sitefooter.
-            parts = [(word[:i], word[i:]) for i in range(2, len(word) - 1)]
+            # Two words in one, as in commentlist or sitefooter; none of the words above has over 20 letters.
+            parts = [(word[:i], word[i:]) for i in range(2, len(word) - 1)] if len(word) <= 40 else []
             if not any(x in BOILER_NAMES and (y in FILLER or y in BOILER_NAMES) or x in FILLER and y in BOILER_NAMES for x, y in parts):
                 return False
             found = True
     return found
 
 
-def evidence(tag: str, attributes: str) -> float:
-    """What an element's tag, names and visibility say of each of its blocks."""
-    cost = ELEMENTS["boiler_tag"] * (tag in BOILER_TAGS) + ELEMENTS["main_tag"] * (tag in MAIN_TAGS)
-    boiler = main = False
+def evidence(tag: str, attributes: str) -> tuple[float, float, bool]:
+    """What an element's tag, names and visibility say of each of its blocks, what they say of blocks that are no prose, and whether it is an article."""
+    cost = ELEMENTS["boiler_tag"] * (tag in BOILER_TAGS)
+    boiler = listing = main = False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id", "role", "itemprop") and tag in NAMED_TAGS:
-            boiler = boiler or any(map(means_boilerplate, value.split()))
-            main = main or any(w in MAIN_NAMES for x in value.split() for w in (*words_in(x), x.lower()))
+            for x in value.split():
+                if means_boilerplate(x):
+                    links = any(w in LINK_NAMES for w in words_in(x))
+                    boiler, listing = boiler or not links, listing or links
+                else:
+                    main = main or any(w in MAIN_NAMES for w in (*words_in(x), x.lower()))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             cost += ELEMENTS["hidden"]
-    return cost + (ELEMENTS["boiler_name"] if boiler else ELEMENTS["main_name"] * main)
+    # An article that is named a comment, and nothing else, is one; of an article's other names none outweighs its tag.
+    article = tag in MAIN_TAGS and (main or not boiler)
+    if article:
+        return cost + ELEMENTS["main_tag"], 0.0, True
+    return cost + (ELEMENTS["boiler_name"] if boiler else ELEMENTS["main_name"] * (main and not listing)), ELEMENTS["boiler_name"] * (listing and not boiler), False
 
 
 class Page:
@@ -126,7 +142,7 @@ class Page:
 
     def __init__(self, page: str):
         self.blocks: list[Block] = []
-        self.elements = [Element("", 0, 0.0, False, 0)]
+        self.elements = [Element("", 0, 0.0, 0.0, False, 0)]
         self._stack = [0]
         self._open: dict[str, int] = {}
         #: Places in the stack of the elements that each rule of CLOSES looks at.
@@ -136,10 +152,10 @@ class Page:
     def _push(self, tag: str, attributes: str) -> None:
         up = self._stack[-1]
         parent = self.elements[up]
-        cost = evidence(tag, attributes)
+        cost, listing, article = evidence(tag, attributes)
         # An article's own headline in its header is the article's.
         headline = up if tag == "header" and parent.main else parent.headline if tag in HEADINGS else 0
-        self.elements.append(Element(tag, up, cost, parent.main or tag in MAIN_TAGS, headline))
+        self.elements.append(Element(tag, up, cost, listing, parent.main or article, headline))
         for rule, (which, within) in CLOSES.items():
             if tag in which or tag in within:
                 self._seen[rule].append(len(self._stack))
@@ -180,25 +196,62 @@ class Page:
                 at = self.elements[at].headline or at
             self.blocks.append(Block(text, min(link_chars, len(text)), at))
             self.elements[at].blocks += 1
+            self.elements[at].thin += not is_prose(self.blocks[-1])
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at `at`: behind the first > outside quotes, or else the first one; -1 if there is none.
+
+        What follows a quote or > is the same from wherever one came to it, so each is looked at once in a page.
+        """
+        page, ends, passed = self._page, self._ends, []
+        m = SPECIAL.search(page, at)
+        end = -1
+        while m:
+            i = m.start()
+            if i in ends:
+                end = ends[i]
+                break
+            passed.append(i)
+            if page[i] == ">":
+                end = i + 1
+                break
+            close = page.find(page[i], i + 1)
+            m = SPECIAL.search(page, close + 1) if close >= 0 else None
+        for i in passed:
+            ends[i] = end
+        return end if end >= 0 else page.find(">", at) + 1 or -1
 
     def _read(self, page: str) -> None:
         pieces: list[str] = []
         at, size, links, link_chars = 0, len(page), False, 0
+        last = page.rfind(">")
+        self._page, self._ends = page, {}
         while at < size:
-            m = TOKEN.search(page, at)
+            m = OPENING.search(page, at)
+            comment = m is not None and m[0] == "<!--"
+            # Behind the last > there are no tags, only the text and what an open comment hides.
+            while m and not comment and m.end() > last:
+                start = page.find("<!--", m.end())
+                m = OPENING.match(page, start) if start >= 0 else None
+                comment = m is not None
             end = m.start() if m else size
             if end > at:
                 pieces.append(page[at:end])
                 link_chars += (end - at) * links
             if not m:
                 break
-            at = m.end()
+            if comment:
+                close = page.find("-->", m.end())
+                at = close + 3 if close >= 0 else size
+                continue
+            at = self._tag_end(m.end()) if m[2] else page.find(">", m.end()) + 1
             if not m[2]:
                 continue
+            attributes = page[m.end() : at - 1]
             tag, closing = m[2].lower(), m[1] == "/"
             if tag in RAW:
-                if not closing and not m[3].rstrip().endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                if not closing and not attributes.rstrip().endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at, last + 1)
                     at = close.end() if close else size
             elif tag == "a":
                 links = not closing
@@ -212,45 +265,59 @@ class Page:
                 else:
                     self._before(tag)
                     if tag not in VOID:
-                        self._push(tag, m[3])
+                        self._push(tag, attributes)
         self._add_block(pieces, link_chars)
 
     def graph(self) -> tuple[list[float], list[dict[int, float]]]:
         """Costs and edges of the nodes: all blocks, then the elements that hold some."""
         n = len(self.blocks)
-        mass = [e.blocks for e in self.elements]
+        mass, thin = [e.blocks for e in self.elements], [e.thin for e in self.elements]
         for i in range(len(mass) - 1, 0, -1):
             mass[self.elements[i].parent] += mass[i]
+            thin[self.elements[i].parent] += thin[i]
         in_main = sum(e.blocks for e in self.elements if e.main)
         node = {}
         for i, m in enumerate(mass):
             if m:
                 node[i] = n + len(node)
-        gain = [block_cost(b, bool(in_main) and not self.elements[b.element].main) for b in self.blocks] + [0.0] * len(node)
+        weights = WEIGHTS if in_main else UNMARKED
+        gain = [block_cost(b, not self.elements[b.element].main, weights) for b in self.blocks] + [0.0] * len(node)
         edges: list[dict[int, float]] = [{} for _ in gain]
 
         def join(i: int, j: int, weight: float) -> None:
             edges[i][j] = edges[j][i] = edges[i].get(j, 0.0) + weight
 
+        own = [e.cost * m + e.listing * t for e, m, t in zip(self.elements, mass, thin)]
+        # The nearest element that says something of its own. On pages that do not mark their main text, nothing is smoothed across its border.
+        region = [0] * len(own)
+        for i in range(1, len(own)):
+            region[i] = i if own[i] else region[self.elements[i].parent]
         for i, b in enumerate(self.blocks):
             join(i, node[b.element], INSIDE)
-            if i:
+            if i and (in_main or region[b.element] == region[self.blocks[i - 1].element]):
                 join(i - 1, i, FOLLOWS)
         for i, at in node.items():
-            gain[at] = self.elements[i].cost * mass[i]
+            gain[at] = own[i]
+            if i and not in_main and own[i]:
+                continue
             if i:
-                join(at, node[self.elements[i].parent], NESTED + NESTED_BLOCK * mass[i] * (self.elements[i].cost == 0))
+                join(at, node[self.elements[i].parent], NESTED + NESTED_BLOCK * mass[i] * (own[i] == 0))
             elif in_main:
                 gain[at] += ELEMENTS["outside_main"] * (n - in_main)
         return gain, edges
 
 
-def block_cost(block: Block, outside_main: bool) -> float:
+def is_prose(block: Block) -> bool:
+    """A sentence of some length that is not mostly links."""
+    return block.text.count(" ") >= 5 and block.text[-1] in ENDS and block.link_chars * 2 < len(block.text)
+
+
+def block_cost(block: Block, outside_main: bool, weights: dict[str, float]) -> float:
     """Above 0: rather content."""
     words = block.text.count(" ") + 1
-    total = WEIGHTS["prior"] + WEIGHTS["words"] * min(1.0, words / 12) + WEIGHTS["outside_main"] * outside_main
-    total += WEIGHTS["links"] * (block.link_chars / len(block.text))
-    return total + WEIGHTS["sentence"] * (block.text[-1] in ".!?…:;\"'»”")
+    total = weights["prior"] + weights["words"] * min(1.0, words / 12) + weights["outside_main"] * outside_main
+    total += weights["links"] * (block.link_chars / len(block.text))
+    return total + weights["sentence"] * (block.text[-1] in ENDS)
 
 
 def min_cut(gain: list[float], edges: list[dict[int, float]]) -> list[bool]:
