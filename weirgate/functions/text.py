@@ -95,27 +95,95 @@ def neutralize_formula(value: Column) -> Column:
     return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
-def _normalised(text: str) -> tuple[str, list[int], list[int]]:
-    """NFKC by character cluster, lower case, no format characters, single spaces; with each character's original range."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    i = 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and unicodedata.combining(text[j]):
-            j += 1
-        for ch in unicodedata.normalize("NFKC", text[i:j]).lower():
-            blank = ch.isspace()
-            if blank and (not out or out[-1] == " ") or not blank and unicodedata.category(ch) == "Cf":
-                continue
-            out.append(" " if blank else ch)
-            starts.append(i)
-            ends.append(j)
-        i = j
-    if out and out[-1] == " ":
-        out.pop()
-    return "".join(out), starts[: len(out)], ends[: len(out)]
+class Folding:
+    """Texts as scanners read them: NFKC by character cluster, lower case, no format characters, single spaces.
+
+    What one code point becomes is looked up in pages of 256, which are made when a text first needs them; only clusters (a character
+    and the combining marks after it) are normalised one by one, and each different one once.
+    """
+
+    CLUSTERS = 1 << 16
+
+    def __init__(self):
+        self.known = np.zeros(0x1100, bool)
+        self.one: np.ndarray | None = None  # what a code point becomes, if one other
+        self.odd: np.ndarray | None = None  # code points that become none or several, and combining marks
+        self.clusters: dict[str, np.ndarray] = {}
+
+    def __reduce__(self):
+        return Folding, ()  # tables are made anew where they are needed
+
+    @staticmethod
+    def folded(cluster: str) -> np.ndarray:
+        low = unicodedata.normalize("NFKC", cluster).lower()
+        kept = "".join(" " if c.isspace() else c for c in low if c.isspace() or unicodedata.category(c) != "Cf")
+        return np.frombuffer(kept.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def _page(self, p: int) -> None:
+        if self.one is None:
+            self.one, self.odd = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+        for c in range(p << 8, (p + 1) << 8):
+            to = self.folded(chr(c))
+            if len(to) == 1 and not unicodedata.combining(chr(c)):
+                self.one[c] = to[0]
+            else:
+                self.odd[c] = True
+        self.known[p] = True
+
+    def _cluster(self, cluster: str) -> np.ndarray:
+        if (to := self.clusters.get(cluster)) is None:
+            to = self.folded(cluster)
+            if len(self.clusters) < self.CLUSTERS and len(cluster) < 16:
+                self.clusters[cluster] = to
+        return to
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, and where in the text the cluster of each begins and ends)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if not len(points):
+            return np.zeros(0, np.uint32), points, points
+        for p in np.flatnonzero(np.bincount(points >> 8, minlength=len(self.known)).astype(bool) & ~self.known).tolist():
+            self._page(p)
+        out, odd = self.one[points], np.flatnonzero(self.odd[points])
+        if len(odd):
+            begin, end = self._odd_clusters(points, odd)
+            made = [self._cluster(text[s:e]) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            size = np.ones(len(points), np.int64)
+            size[odd] = 0
+            size[begin] = sizes
+            starts = np.repeat(np.arange(len(points)), size)
+            out, ends = out[starts], starts + 1
+            first = begin + np.cumsum(sizes - (end - begin)) - (sizes - (end - begin))
+            where = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            out[where], ends[where] = np.concatenate(made), np.repeat(end, sizes)
+        else:
+            starts = np.arange(len(points))
+            ends = starts + 1
+        blank = out == 0x20
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        kept = np.flatnonzero(keep)
+        keep[kept[-1:]] = ~blank[kept[-1:]]  # a text ends with no blank
+        return (out, starts, ends) if keep.all() else (out[keep], starts[keep], ends[keep])
+
+    def _odd_clusters(self, points: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the clusters begin and end that are not one code point which becomes one."""
+        few, which = np.unique(points[odd], return_inverse=True)
+        mark = np.array([unicodedata.combining(chr(c)) > 0 for c in few.tolist()])[which] & (odd > 0)
+        begin = np.where(mark, -1, odd)
+        # A run of marks belongs to what stands before it.
+        heads = mark.copy()
+        heads[1:] &= ~(mark[:-1] & (odd[1:] == odd[:-1] + 1))
+        begin[heads] = odd[heads] - 1
+        begin = np.unique(begin[begin >= 0])
+        end = begin + 1
+        at = np.searchsorted(begin, odd[mark], side="right") - 1
+        np.maximum.at(end, at, odd[mark] + 1)
+        return begin, end
+
+
+_folding = Folding()
 
 
 @F.pandas_udf(T.StringType())
@@ -123,20 +191,22 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalised_with_ranges(text: str) -> tuple[str, np.ndarray | None, np.ndarray | None]:
-    """The text as scanners read it, and each character's range in the original; None: no character moves."""
-    lower = text.lower()
-    if text.isascii() or len(lower) == len(text) and unicodedata.is_normalized("NFKC", text) and not any(unicodedata.category(c) == "Cf" for c in set(text)):
-        return lower, None, None  # runs of white space stay, which no word notices
-    norm, starts, ends = _normalised(text)
-    return norm, np.array(starts, np.int64), np.array(ends, np.int64)
+def normalised_with_ranges(text: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The text's code points as scanners read them, and each one's range in the original; None: no character moves."""
+    if text.isascii():  # runs of white space stay, which no word notices
+        return np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32), None, None
+    return _folding(text)
+
+
+def as_text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @F.pandas_udf(WORDS)
 def _words_of_any(texts: pd.Series) -> pd.Series:
     def words(text: str | None) -> list[dict]:
-        norm, starts, ends = normalised_with_ranges(text or "")
-        ranges = ((m[0], *m.span()) for m in re.finditer(r"\w+", norm))
+        points, starts, ends = normalised_with_ranges(text or "")
+        ranges = ((m[0], *m.span()) for m in re.finditer(r"\w+", as_text(points)))
         return [{"word": w, "start": s if starts is None else int(starts[s]), "end": e if ends is None else int(ends[e - 1])} for w, s, e in ranges]
 
     return texts.map(words)
@@ -164,8 +234,7 @@ class WordHashes:
 
     def runs(self, text: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, two hashes) of each run of k words of the normalised text, in ranges of the original."""
-        norm, starts, ends = normalised_with_ranges(text)
-        points = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points, starts, ends = normalised_with_ranges(text)
         edges = np.flatnonzero(np.diff(self.inside[points].astype(np.int8), prepend=0, append=0))
         first, last = edges[::2], edges[1::2]
         n = max(0, len(first) - k + 1)

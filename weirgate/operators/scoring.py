@@ -1,12 +1,14 @@
 """Pluggable scorers and judges for the cascade.
 
-A scorer's model is loaded once for each Python worker and sees whole Arrow batches. A failing batch gives
-null scores, which the cascade treats as an error that passes to no later layer.
+A scorer's model is loaded once for each task and sees whole Arrow batches. Where the model cannot be loaded, no text
+has a score; where it fails on a batch, the batch is halved until the texts that it fails on stand alone, and only these
+have none. Scores that are not finite are none either. The cascade treats a null score as an error that passes to no later layer.
 """
 
 from __future__ import annotations
 
 import collections
+import logging
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -19,24 +21,38 @@ from pyspark.sql import types as T
 
 from weirgate.operators.cascade import UNDECIDED, VERDICT, Judge, Scorer, read_verdict
 
+LOG = logging.getLogger(__name__)
+
 
 def pandas_scorer(load: Callable[[], Callable[[pd.Series], np.ndarray]], text: str = "prompt") -> Scorer:
     """A scorer from `load`, which gives a function from texts to scores in [0, 1]."""
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        try:
+            model = load()
+        except Exception:
+            LOG.exception("the scorer's model cannot be loaded")
+            model = None
         for batch in batches:
             texts = batch.dropna()
-            try:
-                found = np.clip(np.asarray(model(texts), float), 0.0, 1.0) if len(texts) else np.zeros(0)
-            except Exception:
-                found = np.full(len(texts), np.nan)
-            yield pd.Series(np.where(np.isfinite(found), found, None), index=texts.index, dtype=object).reindex(batch.index)
+            found = np.full(len(texts), np.nan) if model is None else scored(model, texts)
+            yield pd.Series(np.where(np.isfinite(found), np.clip(found, 0.0, 1.0), None), index=texts.index, dtype=object).reindex(batch.index)
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return lambda df: df.withColumn("score", F.pandas_udf(scores, T.DoubleType())(left_to_it(df, text)))
 
 
+def scored(model: Callable[[pd.Series], np.ndarray], texts: pd.Series) -> np.ndarray:
+    """The model's scores, NaN for the texts that it fails on."""
+    if not len(texts):
+        return np.zeros(0)
+    try:
+        return np.asarray(model(texts), float).reshape(len(texts))
+    except Exception:
+        half = len(texts) // 2
+        return np.concatenate([scored(model, texts[:half]), scored(model, texts[half:])]) if half else np.full(1, np.nan)
+
+
 def left_to_it(df: DataFrame, text: str) -> Column:
     """The text of undecided rows, null for others, which a function in Python then leaves out."""
     own = F.coalesce(F.col(text), F.lit(""))
@@ -54,9 +70,10 @@ def onnx_scorer(path: str, encode: Callable[[list[str]], dict[str, np.ndarray]],
         session.run(None, {k: v for k, v in encode(["warm up"]).items() if k in wanted})
 
         def predict(texts: pd.Series) -> np.ndarray:
-            logits = session.run(None, {k: v for k, v in encode(texts.tolist()).items() if k in wanted})[0]
+            logits = session.run(None, {k: v for k, v in encode(texts.tolist()).items() if k in wanted})[0].astype(float)
+            logits[~np.isfinite(logits).all(axis=1)] = np.nan
             if logits.shape[1] == 1:
-                return 1 / (1 + np.exp(-logits[:, 0]))
+                return np.exp(-np.logaddexp(0, -logits[:, 0]))
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             return e[:, attack_label] / e.sum(axis=1)
 
