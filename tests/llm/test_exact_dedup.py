@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from weirgate.llm import exact_dedup as E
 
 SCHEMA = "doc_id long, text string, task string, record int, members string"
@@ -56,6 +58,50 @@ def test_a_hot_content_takes_one_entry(spark, monkeypatch):
     assert kept == [(5, 895)]
 
 
+class OneTask:
+    @staticmethod
+    def get():
+        return OneTask
+
+    @staticmethod
+    def partitionId():
+        return 7
+
+
+def test_a_sender_hands_on_before_ids_fill_its_memory(monkeypatch):
+    monkeypatch.setattr(E, "TaskContext", OneTask)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(i, i + 50_000)), pa.array(["hot"] * 50_000)], schema=schema) for i in range(0, 1_000_000, 50_000))
+    marks, told = {}, 0
+    for batch in E._sender(pa.struct(list(schema)), True)(batches):
+        members = batch.column("members")
+        told += len(members.flatten())
+        for mark, n in zip(batch.column("mark").to_pylist(), members.value_lengths().to_pylist(), strict=True):
+            marks[mark] = marks.get(mark, 0) + (n or 0)
+    assert told == 1_000_000 and len(marks) == 3
+    assert max(marks.values()) <= E.SEND_BYTES // E.ID_BYTES + 1
+
+
+def test_ids_told_do_not_stay_in_a_receivers_memory():
+    record = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("bucket", pa.int64()), ("task", pa.int32()), ("mark", pa.binary()), ("rows", pa.int64()), ("members", pa.list_(pa.int64())), ("record", record)])
+    mark = hashlib.sha256(b"hot").digest() + bytes(4)
+
+    def batches():
+        yield E._batch([(0, 7, mark, 4_096_000, None, {"doc_id": 0, "text": "hot"})], schema)
+        for i in range(250):
+            members = pa.ListArray.from_arrays(pa.array([0, 4096, 8192, 12288, 16384]), pa.array(range(4 * i * 4096, 4 * (i + 1) * 4096)))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * 4), pa.array([7] * 4, pa.int32()), pa.array([mark] * 4, pa.binary()), pa.array([(4 * i + j) * 4096 for j in range(4)]), members, pa.nulls(4, record)], schema=schema)
+
+    before, most, ids, decided = pa.total_allocated_bytes(), 0, 0, []
+    for batch in E._decide(batches()):
+        most = max(most, pa.total_allocated_bytes() - before)
+        ids += len(batch.column("members").flatten())
+        decided += [x for x in batch.to_pylist() if x["members"] is None]
+    assert ids == 4_096_000 and most < 4 << 20  # the ids take 32 MB
+    assert [(x["keep_id"], x["group_size"]) for x in decided] == [(0, 4_096_000)]
+
+
 def test_grace_recursion_and_equal_hashes():
     rng = random.Random(3)
     records = [(rng.randrange(8) << 61 | rng.randrange(4), bytes([rng.randrange(5)]) * 10, i) for i in range(400)]

@@ -43,6 +43,20 @@ def test_both_ways_to_rake_agree(spark, monkeypatch):
         assert one[k] == pytest.approx(two[k], rel=2e-2)
 
 
+def test_both_ways_stop_after_the_same_rounds(spark, monkeypatch):
+    # Feasible only in the limit, as the cell (a, y) must vanish.
+    cells = spark.createDataFrame([("a", "x", 0, 10), ("a", "y", 0, 30), ("b", "x", 0, 5)], "source string, lang string, topic int, n_tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    monkeypatch.setattr(mixing, "FREE_ROUNDS", 3)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-12)
+    found = []
+    for limit in (100, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", limit)
+        found.append({(r.source, r.lang): r.factor for r in mixing.factors(cells, targets).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
 def test_rake_equals_hand_computed():
     w = mixing.rake(np.array([0.25, 0.25, 0.25, 0.25]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.8, 0.2]), np.array([0.5, 0.5])])
     assert np.allclose(w, [0.4, 0.4, 0.1, 0.1])

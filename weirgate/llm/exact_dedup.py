@@ -1,7 +1,7 @@
 """Exact dedup by Grace hashing: partition by content hash until a bucket fits a table, then compare contents.
 
 Every task first merges its own equal records in a bounded open-addressing table, so that a content that
-a third of all rows share leaves each task once. One shuffle deals the representatives, with their whole
+a third of all rows share leaves each task once (once more for each 400,000 ids that have it). One shuffle deals the representatives, with their whole
 contents, by hash. A receiving task takes them into an open-addressing table; what exceeds the task's
 memory is partitioned by further hash bits into spill files, and each file is treated likewise. Two
 records are equal only if their complete contents are; of equal ones a table holds one record, the
@@ -36,6 +36,8 @@ from weirgate.llm.common import cut, text_chunks
 
 #: Bytes of content that a task's table holds before it hands on (sender) or spills (receiver).
 SEND_BYTES, TABLE_BYTES = 16 << 20, 64 << 20
+#: What an id in a sender's list takes.
+ID_BYTES = 40
 FAN_OUT = 8
 #: doc_ids in a row that tells which records a sender has merged.
 MEMBERS = 4096
@@ -158,7 +160,7 @@ def _sender(record: pa.StructType, tell: bool):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, flushes = TaskContext.get().partitionId(), 0
-        table, kept, ids = ContentTable(), [], []
+        table, kept, ids, n_ids = ContentTable(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
@@ -186,12 +188,13 @@ def _sender(record: pa.StructType, tell: bool):
                     ids.append([row["doc_id"]])
                 else:
                     ids[entry].append(row["doc_id"])
+                    n_ids += 1
                     if _order(row["doc_id"]) < _order(kept[entry]["doc_id"]):
                         kept[entry] = row
-            if table.bytes > SEND_BYTES:
-                yield from flush()
-                flushes += 1
-                table, kept, ids = ContentTable(), [], []
+                if table.bytes + ID_BYTES * n_ids > SEND_BYTES:
+                    yield from flush()
+                    flushes += 1
+                    table, kept, ids, n_ids = ContentTable(), [], [], 0
         yield from flush()
 
     return send
@@ -240,14 +243,15 @@ DECISION = pa.schema([("task", pa.int32()), ("mark", pa.binary()), ("sha", pa.bi
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What becomes of each content; the rows of doc_ids go on as they are."""
-    told: list[pa.RecordBatch] = []
+    told = tempfile.TemporaryFile()  # a bucket's ids; contents are decided only once all have been read
+    writer = pa.ipc.new_stream(told, DECISION)
 
     def sorted_out() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.filter(batch.column("record").is_null())
             if ids.num_rows:
                 marks, none = ids.column("mark"), pa.nulls(ids.num_rows, pa.int64())
-                told.append(pa.RecordBatch.from_arrays([ids.column("task"), marks, pc.binary_slice(marks, 0, 32), none, ids.column("rows"), none, ids.column("members")], schema=DECISION))
+                writer.write_batch(pa.RecordBatch.from_arrays([ids.column("task"), marks, pc.binary_slice(marks, 0, 32), none, ids.column("rows"), none, ids.column("members")], schema=DECISION))
             yield batch.filter(batch.column("record").is_valid())
 
     held: list[tuple] = []
@@ -256,11 +260,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) > 8192:
             yield _batch(held, DECISION)
             held = []
-        while told:
-            yield told.pop()
     if held:
         yield _batch(held, DECISION)
-    yield from told
+    writer.close()
+    told.seek(0)
+    yield from pa.ipc.open_stream(told)
+    told.close()
 
 
 def _dealt(docs: DataFrame, tell: bool) -> tuple[DataFrame, pa.StructType]:

@@ -47,7 +47,7 @@ MARGINALS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE = 200, 1e-6
 #: The factor of a cell in a contradiction stays within 1 / BOUND and BOUND, as weights are trimmed in survey raking.
 BOUND = 6.0
-#: On the driver targets may take so many times ROUNDS to fit.
+#: Targets may take so many times ROUNDS to fit, on the driver and in rounds of joins alike.
 FREE_ROUNDS = 10
 #: Share of the mixture's tokens that cells kept whole may lack, and halvings that find the scale.
 SHORTAGE, HALVINGS = 0.02, 40
@@ -272,7 +272,7 @@ def _factors_by_rounds(cells: DataFrame, live: DataFrame, targets: dict[str, dic
     state = state.withColumn("bounded", F.lit(False))
     while True:
         worst, state = 0.0, state.withColumn("w", F.col("n"))
-        for _ in range(ROUNDS):
+        for _ in range(FREE_ROUNDS * ROUNDS):
             off, state = F.lit(0.0), state.withColumn("before", F.col("w"))
             for m in MARGINALS:
                 scale = state.groupBy(m).agg(F.sum("w").alias("have")).join(goals[m], m).select(m, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias(f"_{m}"))
