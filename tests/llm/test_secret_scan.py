@@ -3,6 +3,7 @@ import bz2
 import gzip
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -111,6 +112,50 @@ def test_data_that_unpacks_to_itself_ends(monkeypatch):
     assert spans(base64.b64encode(gzip.compress(b"nothing")).decode()) == ""
 
 
+def deflated(data):
+    stream = zlib.compressobj(wbits=-15)
+    return stream.compress(data) + stream.flush()
+
+
+def test_zlib_behind_a_head_utf_16_and_bare_deflate():
+    plain = f"token=abcdef1 {KEY}".encode()
+    b64 = lambda data: base64.b64encode(data).decode()
+    bare = (deflated(plain), deflated(plain * 9000))
+    for data in (b"head" + zlib.compress(plain), zlib.compress(b"x" + zlib.compress(plain)), plain.decode().encode("utf-16"), plain.decode().encode("utf-16-be"), *bare, gzip.compress(plain.decode().encode("utf-16-le"))):
+        run = b64(data)
+        assert inside(run, (0, len(run))) == {"assign", "access"}, data[:40]
+        if data not in bare:  # which has no mark
+            assert {x.split(":")[0] for x in spans(f"data/{run}").split(",")} == {"assign", "access"}, data[:40]
+    whole = "é Größe token=abcdef1"
+    assert spans(b64(whole.encode("utf-16-le"))) and spans(b64(zlib.compress(plain)[:-6]))  # cut short, too
+    assert spans(b64(deflated(b"nothing to be found here"))) == spans(b64(bytes(range(256)))) == ""
+
+
+def test_layers_deeper_than_any_limit():
+    data = f"token=abcdef1 {KEY}".encode()
+    for _ in range(130):
+        data = gzip.compress(data)
+    run = base64.b64encode(data).decode()
+    base, found, complete = s.worked_off(run)
+    assert {k for _, k, _ in found} == {0, 1} and complete and not base
+
+
+def test_what_never_ends_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(s, "unpacked", lambda data: iter([bytes(data) + b"!"]))
+    assert not s.worked_off(base64.b64encode(gzip.compress(b"nothing")).decode())[2]
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(1, "token=abcdef1"), (2, None), (3, "plain")], "doc_id long, text string")
+    assert [r.complete for r in s.secret_scan(docs).collect()] == [True] * 3
+
+
+def test_false_headers_cost_little():
+    data = b"\x78\x9c" * 500_000 + b"token=abcdef1"
+    run = base64.b64encode(data).decode()
+    begin = time.perf_counter()
+    assert inside(run, (0, len(run))) == {"assign"}
+    assert time.perf_counter() - begin < 20
+
+
 def wrap(data, rng, depth):
     """A text with `data` under `depth` layers, and that many layers as functions of text."""
     text = data

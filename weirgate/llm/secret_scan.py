@@ -8,11 +8,13 @@ character, a base64 run as a whole.
 
 Base64 is read in every alignment of a run, so that what stands before it in a path or URL does no harm, and
 also over line breaks, as mail and keys wrap it. Compressed data is unpacked wherever it begins in a decoded
-layer, all its members, PIECE bytes at a time with OVERLAP in common. Bytes that are no characters separate.
+layer, all its members, PIECE bytes at a time with OVERLAP in common; deflate without a header, which has no mark, only
+where it takes the whole of a decoded layer. Decoded UTF-16 is read too. Bytes that are no characters separate.
 
 Defined results: null texts are empty; ids, ties and repeated rows pass through row by row; very long texts
 are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
-Layers deeper than DEPTH are not opened: some compressed data unpacks to something new for ever.
+Some data unpacks to something new for ever: of layers deeper than DEPTH as many are opened as take DEEP bytes
+together for a text, and `complete` is false where that was not enough.
 """
 
 from __future__ import annotations
@@ -39,18 +41,24 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 WORDS = ("password", "passwd", "secret", "token", "api")
 
-#: Shortest base64 run that is tried (no shorter one can hold a secret), and how deep layers are opened.
-BASE64_LEAST, DEPTH = 16, 100
+#: Shortest base64 run that is tried (no shorter one can hold a secret).
+BASE64_LEAST = 16
+#: Layers deeper than DEPTH are opened until they take DEEP bytes together, each LAYER at least.
+DEPTH, DEEP, LAYER = 100, 16 << 20, 1024
+#: Bytes of packed data that are read at once.
+STEP = 1 << 16
 #: Bytes of unpacked data that are scanned at once (also the most that packed data inside packed data may take), and what two pieces share.
 PIECE, OVERLAP = 64 << 20, 1 << 16
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-#: Where gzip, bzip2 and zstd data begins; zlib has no such mark and is tried at the start only.
-PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
+#: Where gzip, bzip2, zstd and zlib data begins.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+#: Runs of ASCII characters in UTF-16, of either byte order.
+WIDE = re.compile(rb"(?:[\t-~]\x00){8,}|(?<![\t-~])(?:\x00[\t-~]){8,}")
 #: What decoded bytes must hold to be worth a layer.
-PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|" + PACKED.pattern)
+PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|" + PACKED.pattern + b"|" + WIDE.pattern)
 
 
 def find_assign(text: str) -> list[tuple[int, int]]:
@@ -136,7 +144,7 @@ def is_zlib(data: bytes) -> bool:
     return data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
+def _unpacked(data: bytes | memoryview) -> Iterator[bytes]:
     """What gzip, zlib, bzip2 or zstd data holds, all members, up to where it breaks off."""
     try:
         if data[:4] == b"\x28\xb5\x2f\xfd":
@@ -144,28 +152,72 @@ def _unpacked(data: bytes) -> Iterator[bytes]:
                 while chunk := reader.read(1 << 20):
                     yield chunk
             return
-        while data[:2] == b"\x1f\x8b" or is_zlib(data):
-            member = zlib.decompressobj(47)
-            while data and not member.eof:
-                if chunk := member.decompress(data, 1 << 20):
+        at = 0
+        while data[at : at + 2] == b"\x1f\x8b" or is_zlib(data[at : at + 3]):
+            member, held = zlib.decompressobj(47), b""
+            while not member.eof:
+                if not held:
+                    held = bytes(data[at : at + STEP])
+                    at += len(held)
+                    if not held:
+                        yield member.flush()
+                        return
+                if chunk := member.decompress(held, 1 << 20):
                     yield chunk
-                data = member.unconsumed_tail
-            data = member.unused_data
-        while data[:3] == b"BZh":
+                held = member.unconsumed_tail
+            at -= len(member.unused_data)
+        while data[at : at + 3] == b"BZh":
             member = bz2.BZ2Decompressor()
-            while not member.eof and (data or not member.needs_input):
-                if chunk := member.decompress(data, 1 << 20):
+            while not member.eof:
+                held = bytes(data[at : at + STEP]) if member.needs_input else b""
+                at += len(held)
+                if member.needs_input and not held:
+                    return
+                if chunk := member.decompress(held, 1 << 20):
                     yield chunk
-                data = b""
-            data = member.unused_data
+            at -= len(member.unused_data)
     except (zlib.error, OSError, zstandard.ZstdError, EOFError, ValueError):
         return
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """What deflate data without a header holds, nothing unless it is the whole of data."""
+    for giving in (False, True):
+        stream, held, at = zlib.decompressobj(-15), b"", 0
+        while not stream.eof:
+            if not held:
+                held = data[at : at + STEP]
+                at += len(held)
+                if not held:
+                    return
+            try:
+                chunk = stream.decompress(held, 1 << 20)
+            except zlib.error:
+                return
+            if giving and chunk:
+                yield chunk
+            held = stream.unconsumed_tail
+        if stream.unused_data or at < len(data):
+            return
+
+
+def is_deflate(data: bytes) -> bool:
+    return any(PROMISING.search(x) for x in pieces(_inflated(data)))
+
+
+def wide(data: bytes) -> str:
+    """The ASCII runs of UTF-16 data, apart from each other."""
+    return "\ufffd".join(m[0].replace(b"\0", b"").decode() for m in WIDE.finditer(data))
+
+
+def unpacked(data: bytes | memoryview) -> Iterator[bytes]:
     """Pieces of what packed data holds."""
+    return pieces(_unpacked(data))
+
+
+def pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
     held, size = [], 0
-    for chunk in _unpacked(data):
+    for chunk in chunks:
         held.append(chunk)
         size += len(chunk)
         if size >= PIECE:
@@ -184,7 +236,7 @@ def decoded(run: str) -> Iterator[tuple[int, bytes]]:
         own = own[: len(own) - (len(own) % 4 == 1)]
         if len(own) >= BASE64_LEAST:
             data = base64.b64decode(own + "=" * (-len(own) % 4))
-            if PROMISING.search(data) or not offset and is_zlib(data):
+            if PROMISING.search(data) or not offset and (is_zlib(data) or is_deflate(data)):
                 yield offset, data
 
 
@@ -200,13 +252,17 @@ def wrapped_runs(text: str) -> list[tuple[int, int]]:
 def opened(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
     """The layers directly inside a layer."""
     text, depth = layer.text, layer.depth + 1
-    if depth > DEPTH:
-        return
     if layer.data is not None:
+        data = memoryview(layer.data)
         begins = [m.start() for m in PACKED.finditer(layer.data)]
         for at in begins if 0 in begins or not is_zlib(layer.data) else [0, *begins]:
-            for piece in unpacked(layer.data[at:]):
+            for piece in unpacked(data[at:] if at else layer.data):
                 yield Layer(piece.decode("utf-8", "replace"), whole=layer.whole, data=piece, depth=depth)
+        if 0 not in begins:
+            for piece in pieces(_inflated(layer.data)):
+                yield Layer(piece.decode("utf-8", "replace"), whole=layer.whole, data=piece, depth=depth)
+        if told := wide(layer.data):
+            yield Layer(told, whole=layer.whole, data=told.encode(), depth=depth)
     if "%" in text and (new := replaced(layer, URL, from_url)):
         yield new
     if ("\\" in text or "&#" in text) and (new := replaced(layer, ESCAPE, from_escape)):
@@ -218,11 +274,16 @@ def opened(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
             yield Layer(data.decode("utf-8", "replace"), whole=layer.origin(s + offset, e), data=data, depth=depth)
 
 
-def scan(text: str, base: list[tuple[int, int, int]] | None = None, runs: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans), each (start, kind's number, end) in the original. What is known of the first layer may be given."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans), each (start, kind's number, end) in the original."""
+    return worked_off(text)[:2]
+
+
+def worked_off(text: str, base: list[tuple[int, int, int]] | None = None, runs: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
+    """The same, and whether all layers were opened. What is known of the first layer may be given."""
     base = find_secrets(text) if base is None else base
     first = Layer(text)
-    found, seen = set(base), {first.mark()}
+    found, seen, deep = set(base), {first.mark()}, 0
     work = [opened(first, runs_of_base64(text) if runs is None else runs)]
     while work:  # children are made one at a time, so that few layers are held at once
         layer = next(work[-1], None)
@@ -236,8 +297,11 @@ def scan(text: str, base: list[tuple[int, int, int]] | None = None, runs: list[t
         for s, k, e in find_secrets(layer.text):
             start, end = layer.origin(s, e)
             found.add((start, k, end))
-        work.append(opened(layer, runs_of_base64(layer.text)))
-    return base, sorted(found)
+        if layer.depth > DEPTH:
+            deep += len(layer.text) + LAYER
+        if deep <= DEEP:
+            work.append(opened(layer, runs_of_base64(layer.text)))
+    return base, sorted(found), deep <= DEEP
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -270,7 +334,7 @@ def byte_class(chars: bytes) -> np.ndarray:
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, spans) for each row; base and spans as in `written`, by code point."""
+    """(doc_id, n_assign, n_access, n_hex, base, spans, complete) for each row; base and spans as in `written`, by code point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hexes = byte_class(b"0123456789abcdef")
@@ -296,11 +360,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
                 if bs:
                     runs += wrapped_runs(text)
                 if not base and not runs and "%" not in text and "\\" not in text and "&#" not in text:
-                    out.append((0, 0, 0, "", ""))
+                    out.append((0, 0, 0, "", "", True))
                     continue
-                base, spans = scan(text, base, runs)
-                out.append((*(sum(k == i for _, k, _ in base) for i in range(3)), written(base), written(spans)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
+                base, spans, complete = worked_off(text, base, runs)
+                out.append((*(sum(k == i for _, k, _ in base) for i in range(3)), written(base), written(spans), complete))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "complete"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, complete boolean")
