@@ -620,6 +620,21 @@ def judge_verdicts(spark, sf_dir):
     return told.select("doc_id", "v.decision", "v.sanitized_prompt")
 
 
+@query(r"""with r as (select doc_id, left(coalesce(text, ''), 200) told, length(coalesce(text, '')) n from documents),
+    d as (select doc_id, told, n, ['ALLOW', 'BLOCK', 'REDACT', null][n % 4 + 1] said from r)
+    select doc_id, case when n % 7 = 0 and said <> 'BLOCK' then null when said = 'REDACT' and regexp_full_match(told, '\s*') then 'BLOCK' else said end decision,
+        case when n % 7 <> 0 and said = 'REDACT' and not regexp_full_match(told, '\s*') then told end sanitized_prompt from d""")
+def judge_replies(spark, sf_dir):
+    """Replies around each document's text: a verdict in the midst of it, contradicted where the length divides by 7, and then the whole text."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.element_at(F.array(*map(F.lit, ("allow", " Block ", "REDACT", "maybe"))), (F.length(text) % 4 + 1).cast("int"))
+    verdict = F.to_json(F.struct(said.alias("decision"), F.left(text, F.lit(200)).alias("sanitized_prompt"), F.left(text, F.lit(40)).alias("rationale")))
+    against = F.when(F.length(text) % 7 == 0, F.lit(' or {"decision": "BLOCK"}')).otherwise("")
+    reply = F.concat(F.left(text, F.lit(100)), F.lit("\n--\n"), verdict, against, F.lit("\n"), text)
+    told = read(spark, sf_dir, "documents").select("doc_id", cascade.parsed_verdict(reply).alias("v"))
+    return told.select("doc_id", "v.decision", "v.sanitized_prompt")
+
+
 @query("""select doc_id, '[REDACTED:PII_LEAK]' || substring(coalesce(text, ''), (least(4, length(coalesce(text, ''))) + 1)::int) first_text, coalesce(text, '') second_text
     from documents where length(coalesce(text, '')) > 0""")
 def redacted_choices(spark, sf_dir):
@@ -648,6 +663,16 @@ def span_categories(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", spans.alias("spans")).select("doc_id", output_scan.has_secret(F.col("spans")).alias("secret"), counted.alias("categories"))
 
 
+@query(r"""with n as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) pii, len(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+|[0-9a-f]{24,}')) secret from documents)
+    select doc_id, secret > 0 as secret, concat_ws(',', case when pii > 0 then 'PII_LEAK:' || pii end, case when secret > 0 then 'SECRET_LEAK:' || secret end) categories from n""")
+def text_span_categories(spark, sf_dir):
+    """Category counts of spans that stand in the documents' texts."""
+    text = F.coalesce("text", F.lit(""))
+    spans = F.concat(T.match_spans(text, "AKIA[A-Z0-9]+|[0-9a-f]{24,}", "SECRET_LEAK"), T.match_spans(text, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "PII_LEAK"))
+    counted = F.array_join(F.transform(output_scan.categories_of(F.col("spans")), lambda c: F.concat_ws(":", c["category"], c["n"].cast("string"))), ",")
+    return read(spark, sf_dir, "documents").select("doc_id", spans.alias("spans")).select("doc_id", output_scan.has_secret(F.col("spans")).alias("secret"), counted.alias("categories"))
+
+
 @query(f"with {_ITEM_RULES} select rule_id, severity from items where category = 'PII' and is_active")
 def rule_listing(spark, sf_dir):
     return R.list_rules(item_rules(spark, sf_dir), category="PII", active=True).select("rule_id", "severity")
