@@ -7,9 +7,10 @@ six decimals. A null or missing value never counts as blocked, flagged or bypass
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAYERS = ("LAYER_1", "LAYER_2", "LAYER_3", "OUTPUT_SCANNER")
@@ -64,7 +65,8 @@ def hourly_rollup(logs: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-#: Values that a latency sketch keeps; up to so many its percentiles are exact, beyond them their rank errs by about 2.3 / SKETCH**0.9 (0.0013).
+#: Values that a latency sketch keeps; up to so many its percentiles are exact, beyond them their rank errs by about 2.3 / SKETCH**0.9 (0.0013),
+#: and `settled` makes them exact from the log.
 SKETCH = 4096
 
 
@@ -100,6 +102,32 @@ def merged_latency(rollup: DataFrame, by: list[Column], k: int = SKETCH) -> Data
     return sums.withColumn("p95_ms", F.round(sketch_percentile(F.col("sketch"), 0.95), 6))
 
 
+def settled(rollup: DataFrame, logs: DataFrame, bucket: str, key: str, high: str, sketch: str, total: str, p: float = 0.95, k: int = SKETCH, proposals: DataFrame | None = None) -> DataFrame:
+    """`rollup` with the exact percentile by nearest rank as `high`, for groups of any size: `key` is the time cut to `bucket`.
+
+    A sketch answers for a group that it holds whole. The others are read twice more from the log: counts between
+    values that the sketch proposes tell which stretch the rank lies in, and only that stretch is sorted. A sketch
+    that errs makes the stretch longer, not the result wrong. `proposals` has the same groups, where they are cheaper to make.
+    """
+    held = F.kll_sketch_get_n_double(sketch)
+    steps = sorted({round(i / 10, 1) for i in range(1, 10)} | {round(p + d, 4) for d in (-0.03, -0.004, 0.004, 0.03) if 0 < p + d < 1})
+    cuts = F.when(held > 0, F.kll_sketch_get_quantile_double(F.col(sketch), F.array(*map(F.lit, steps))))
+    wide = (rollup if proposals is None else proposals).where((held > k) | (held != F.col(total))).select(F.col(key).alias("wide"), cuts.alias("cuts"))
+    rows = logs.select(truncated(bucket).alias("at"), F.col("execution_time_ms").cast("double").alias("x")).where("x is not null")
+    below = reduce(lambda a, b: a + b, (F.coalesce((F.get("cuts", F.lit(i)) < F.col("x")).cast("int"), F.lit(0)) for i in range(len(steps))))
+    parts = rows.join(F.broadcast(wide), F.col("at").eqNullSafe(F.col("wide"))).select("at", "cuts", below.alias("below"))
+    # The stretch is named by its ends, as a sketch that is made anew may propose others.
+    counts = parts.groupBy("at", F.get("cuts", F.col("below") - 1).alias("low"), F.get("cuts", "below").alias("upper")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("at").orderBy("low"))
+    rank = F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy("at")).cast("decimal(20,0)") * F.lit(Decimal(str(p)))).cast("long"))
+    chosen = counts.select(F.col("at").alias("chosen"), "low", "upper", (rank - so_far + F.col("n")).alias("rank"), "n").where("rank between 1 and n").drop("n")
+    inside = (F.col("low").isNull() | (F.col("x") > F.col("low"))) & (F.col("upper").isNull() | (F.col("x") <= F.col("upper")))
+    values = rows.join(F.broadcast(chosen), F.col("at").eqNullSafe(F.col("chosen")) & inside).groupBy("at", "rank", "x").agg(F.count("*").alias("n"))
+    reached = values.select("at", "x", "rank", F.sum("n").over(Window.partitionBy("at").orderBy("x")).alias("upto")).where("upto >= rank")
+    exact = reached.groupBy("at").agg(F.round(F.min("x"), 6).alias("exact"))
+    return rollup.join(F.broadcast(exact), F.col(key).eqNullSafe(F.col("at")), "left").withColumn(high, F.coalesce("exact", high)).select(*rollup.columns)
+
+
 def backfill(logs: DataFrame, start: str, end: str, deleted_before: str | None = None) -> DataFrame:
     """The rollup of every hour in [start, end), hours without traffic as zeros; never of hours that retention has deleted."""
     first = F.greatest(ts(start), ts(deleted_before)) if deleted_before else ts(start)
