@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
 from weirgate.operators import log_analytics as A
@@ -120,6 +121,34 @@ def test_index_of_substrings(spark, tmp_path):
     assert [r.request_id for r in S.indexed_search(spark, path, index, A.LogFilters(text="nowhere at all")).collect()] == ["late"]
 
 
+def test_signatures_of_long_texts_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Texts over the borders of steps and rows: a file has the trigrams of its texts, none across two of them, and no others."""
+    monkeypatch.setattr(S, "STEP", 64)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abCDÜ日 ", k=rng.choice([0, 1, 2, 3, 40, 300]))) for _ in range(60)] + [None]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(t,) for t in texts], "t string").repartition(3).write.parquet(path)
+    found = {}
+    for r in S.file_signatures(spark.read.parquet(path), "t").collect():
+        found.setdefault(r.file, set()).update((r.bucket - 1) * S.BITMAP + 8 * i + b for i, byte in enumerate(r.bits) for b in range(8) if byte >> b & 1)
+    want = {}
+    for r in spark.read.parquet(path).selectExpr("_metadata.file_path as file", "t").collect():
+        data = (r.t or "").lower().encode()
+        want.setdefault(r.file, set()).update((int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 12 for i in range(len(data) - 2))
+    assert found == {f: bits for f, bits in want.items() if bits}
+
+
+def test_either_of_two_phrases_in_one_pass(spark, tmp_path):
+    """Rows that share an id count each, as in the SQL; the table is read once for the signatures and once for the rows."""
+    rows = [(1, "a Password"), (1, "THE COUNCIL and the password"), (None, "the council"), (None, "my password"), (2, "council"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["indexed_substrings"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(str(r[0]) for r in con.execute(plans.ORACLES["indexed_substrings"]).fetchall()) == ["1", "1", "None", "None"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
 def test_newest_samples_are_cut_before_they_are_shuffled(spark):
     rows = plans.logs(spark, SF)
     plan = A.latency_stats(rows, 5)._jdf.queryExecution().executedPlan().toString()

@@ -6,9 +6,13 @@ empty one. Two rows with the same time and id have no order between them, and a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,10 @@ from weirgate.operators.log_analytics import SEARCH_COLUMNS, LogFilters, clamp,
 
 #: A page is cut out of at most so many rows by skipping; a longer stretch of the log is first narrowed by counts.
 STRETCH = 100_000
-#: Bits of a bitmap that Spark builds at a time (its fixed size), and of a file's signature.
+#: Bits of a bitmap that Spark joins at a time (its fixed size), and of a file's signature.
 BITMAP, BITS = 32_768, 1 << 20
+#: Bytes of text that one numpy step works on.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -137,42 +143,82 @@ def page_after(logs: DataFrame, filters: LogFilters, cursor: Cursor, size: int =
     return _page(found, 0, size)
 
 
-def _trigrams(text: Column) -> Column:
-    """Bits of a signature, one for each run of three characters of the text in lower case, each once."""
-    # Bound as a variable of its own, the split text is not made anew for each run.
-    bits = F.transform(F.array(F.split(F.lower(text), "")), lambda x: F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.pmod(F.xxhash64(F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))), F.lit(BITS)))))
-    return F.when(F.length(text) >= 3, F.get(bits, F.lit(0)))
+def _bits(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits of a signature: one for each run of three bytes within a text; the texts stand one after another."""
+    three = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
+    whole = np.ones(len(three), bool)
+    for back in (2, 1):  # the runs that cross the end of a text
+        at = ends - back
+        whole[at[(at >= 0) & (at < len(three))]] = False
+    return (three[whole] * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, bucket, bits) over rows (file, text), which come file after file; a file's bits are held at a time."""
+    now, seen = None, np.zeros(BITS, bool)
+
+    def given(file: str) -> pa.RecordBatch:
+        pieces = seen.reshape(-1, BITMAP)
+        full = np.flatnonzero(pieces.any(axis=1))
+        bits = [np.packbits(pieces[i], bitorder="little").tobytes() for i in full]
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(full), pa.string()), pa.array(full + 1, pa.int64()), pa.array(bits, pa.binary())], names=["file", "bucket", "bits"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy()
+        starts = np.append(0, np.flatnonzero(np.diff(codes)) + 1)
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+            file = files.dictionary[int(codes[start])].as_py()
+            if file != now:
+                if now is not None:
+                    yield given(now)
+                now = file
+                seen[:] = False
+            texts = batch.column(1).slice(start, end - start).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            if offsets[-1] == offsets[0]:
+                continue
+            data = np.frombuffer(texts.buffers()[2], np.uint8)
+            for at in range(int(offsets[0]), int(offsets[-1]), STEP):
+                to = min(at + STEP + 2, int(offsets[-1]))
+                inner = offsets[np.searchsorted(offsets, at, side="right") : np.searchsorted(offsets, to, side="left")]
+                seen[_bits(data[at:to], inner - at)] = True
+    if now is not None:
+        yield given(now)
 
 
 def file_signatures(rows: DataFrame, column: str) -> DataFrame:
-    """(file, bucket, bits): for each file of a table the trigrams of a column, as a Bloom filter in pieces of 32,768 bits.
+    """(file, bucket, bits): for each file of a table the trigrams (of bytes, in lower case) of a column, as a Bloom filter in pieces of 32,768 bits.
 
     A file's bits are set where it is read, so that a piece, not a text, crosses the network. Null and short texts set none.
     """
-    bits = rows.select(F.col("_metadata.file_path").alias("file"), F.explode(_trigrams(F.col(column))).alias("bit"))
-    at = bits.select("file", F.expr("bitmap_bucket_number(bit + 1)").alias("bucket"), F.expr("bitmap_bit_position(bit + 1)").alias("position"))
-    return at.groupBy("file", "bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bits"))
+    made = rows.select(F.col("_metadata.file_path").alias("file"), F.lower(column).alias("text")).mapInArrow(_pieces, "file string, bucket long, bits binary")
+    return made.groupBy("file", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
 
 
-def files_that_may_hold(signatures: DataFrame, text: str) -> DataFrame:
-    """(file): those that have all trigrams of the text; only the pieces that these lie in are read. Needs three characters."""
-    spark = signatures.sparkSession
-    wanted: dict[int, list[int]] = {}
-    for bit in spark.range(1).select(_trigrams(F.lit(text)).alias("b")).first().b:
-        wanted.setdefault(bit // BITMAP + 1, []).append(bit % BITMAP)
+def files_that_may_hold(signatures: DataFrame, *texts: str) -> DataFrame:
+    """(file): those that have all trigrams of one of the texts; only the pieces that these lie in are read. Each text needs three characters."""
+    lowered = signatures.sparkSession.range(1).select(F.array(*(F.lower(F.lit(t)) for t in texts)).alias("t")).first().t
     tests = []
-    for bucket, positions in wanted.items():
-        set_here = F.lit(True)
-        for p in positions:
-            byte = F.conv(F.hex(F.substring("bits", p // 8 + 1, 1)), 16, 10).cast("int")
-            set_here &= F.shiftright(byte, p % 8).bitwiseAND(F.lit(1)) == 1
-        tests.append((F.col("bucket") == bucket) & set_here)
-    all_set = tests[0]
-    for t in tests[1:]:
-        all_set |= t
-    pieces = signatures.where(F.col("bucket").isin(*wanted)).where(all_set)
-    return pieces.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("file")
+    for text in lowered:
+        wanted: dict[int, list[int]] = {}
+        for bit in np.unique(_bits(np.frombuffer(text.encode(), np.uint8), np.zeros(0, np.int64))).tolist():
+            wanted.setdefault(bit // BITMAP + 1, []).append(bit % BITMAP)
+        if not wanted:
+            raise ValueError("a text needs three characters")
+        all_set = F.lit(False)
+        for bucket, positions in wanted.items():
+            set_here = F.col("bucket") == bucket
+            for p in positions:
+                byte = F.conv(F.hex(F.substring("bits", p // 8 + 1, 1)), 16, 10).cast("int")
+                set_here &= F.shiftright(byte, p % 8).bitwiseAND(F.lit(1)) == 1
+            all_set |= set_here
+        tests.append((all_set, len(wanted)))
+    any_set = reduce(lambda a, b: a | b, (all_set for all_set, _ in tests))
+    counts = signatures.where(any_set).groupBy("file").agg(*(F.count_if(all_set).alias(f"n{i}") for i, (all_set, _) in enumerate(tests)))
+    return counts.where(reduce(lambda a, b: a | b, (F.col(f"n{i}") == n for i, (_, n) in enumerate(tests)))).select("file")
 
 
 def indexed_search(spark: SparkSession, path: str, signatures: DataFrame, filters: LogFilters) -> DataFrame:
