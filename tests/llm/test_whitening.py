@@ -64,6 +64,16 @@ def test_refinement_reaches_extended_precision(values):
         assert 1 - abs(float(x[:, i] @ q[:, i])) < 1e-16 + (1e-18 * float(values[0] / gap[i])) ** 2 * 100
 
 
+@pytest.mark.parametrize("values", [[1] * 24, [3] * 12 + [1] * 12, [2 + 1e-13 * i for i in range(24)]])
+def test_vectors_of_clusters_are_orthonormal_in_extended_precision(values):
+    """Not in doubles only, whatever the last round has turned within a cluster."""
+    for seed in range(20):
+        q = orthogonal(24, seed)
+        a = q * np.sort(np.array(values, np.longdouble))[::-1] @ q.T
+        x = W.refined_eigen((a + a.T) / 2)[1]
+        assert np.abs(x.T @ x - np.eye(24)).max() < 1e-17
+
+
 def test_float32_alone_would_not_do():
     values = [2 + 1e-9 * i for i in range(12)]
     q = orthogonal(12, 3)

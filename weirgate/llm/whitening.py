@@ -196,7 +196,11 @@ def _subspace(a: np.ndarray, x: np.ndarray, mean) -> np.ndarray:
     small = x.T @ (a @ x) - mean * (x.T @ x)
     small = (small + small.T) / 2
     most = np.abs(small).max()
-    return x @ np.linalg.eigh((small / most).astype(np.float64))[1].astype(EXACT) if most else x
+    if not most:
+        return x
+    turn = np.linalg.eigh((small / most).astype(np.float64))[1].astype(EXACT)
+    # As x itself: a turn that is orthonormal in doubles only would leave x so in the last round.
+    return x @ (turn @ (1.5 * np.eye(len(turn), dtype=EXACT) - turn.T @ turn / 2))
 
 
 def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitener | None:
